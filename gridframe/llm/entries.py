@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridframe.llm import op01_lm as lm
 from gridframe.llm import op02_decontamination as decontamination
 from gridframe.llm import op03_packing as packing
 from gridframe.llm import op04_language as language
 from gridframe.llm import op06_license as license_scan
+from gridframe.llm import op07_repeats as repeats
 from gridframe.llm import op09_jaccard as jaccard
 from gridframe.llm import op10_topk as topk
 
@@ -25,6 +27,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.cross_fit(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -42,6 +48,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents, license_scan.known_notices(documents))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents"))
 
@@ -51,5 +61,5 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_benchmark_decontamination, op3_best_fit_packing, op4_language_id, op6_license_scan, op9_ngram_jaccard_join, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_benchmark_decontamination, op3_best_fit_packing, op4_language_id, op6_license_scan, op7_suffix_array_dedup, op9_ngram_jaccard_join, op10_exact_topk)}
 ORACLE_SQL: dict[str, str] = {}

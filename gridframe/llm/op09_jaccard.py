@@ -9,9 +9,11 @@ their parity bitmaps differ in few enough bits (the suffix filter: each differin
 needs an element outside the intersection).  What is left is verified on the whole sets.
 
 Documents with equal sets are one class from the start.  Classes that share prefix
-shingles are joined in two rounds: the first verifies neighbours within a bucket, which
-connects groups of near copies by few pairs; the second takes every remaining pair of a
-bucket whose members are not connected yet, so no link between components is lost.
+shingles are joined in rounds: the first ones hold each row of a bucket against its
+heaviest row (whose prefix lies in the fullest buckets, so the centre of a group of near
+copies) and against the next heavier one, and verify the two nearest by bitmap, which
+connects groups of near copies by few pairs; the last takes every remaining pair of a bucket whose members are not
+connected yet, so no link between components is lost.
 
 A null text or one without words has an empty set, linked with nothing.  Repeated rows
 are copies; rows that share a doc_id are one node of the graph.
@@ -29,8 +31,11 @@ from pyspark.sql import functions as F
 
 from gridframe.llm.common import LOWER, components, materialize, text_rows
 
-WIDTH, PERCENT = 4, 85
+WIDTH, PERCENT, ROUNDS = 4, 85, 3
 SKETCH_BITS, BITMAP_BITS, CHUNK = 20, 512, 1 << 14
+BITMAP = [f"bits{k}" for k in range(BITMAP_BITS // 64)]
+#: The bitmap of documents in candidate pairs: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 _hashes: dict[bytes, int] = {}
 
 
@@ -106,26 +111,24 @@ def profile(batches: Iterator[pa.RecordBatch], counts: np.ndarray, width: int, p
             order = np.argsort(counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
             prefixes.append(own[order[: n - -(-percent * n // 100) + 1] if n else order].view(np.int64))
             odd = np.bincount((own & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
-            bitmaps.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            bitmaps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
         offsets = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
         prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), prefix, pa.array(bitmaps, pa.binary())], ["doc_id", "n", "set_key", "prefix", "bitmap"])
+        words = np.array(bitmaps, np.int64).reshape(-1, len(BITMAP)).T
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), prefix, *map(pa.array, words)], ["doc_id", "n", "set_key", "prefix", *BITMAP])
 
 
-def keep_near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The suffix filter on pairs with the bitmaps of both."""
+def sets_of(batches: Iterator[pa.RecordBatch], wanted: dict[int, bytes], width: int) -> Iterator[pa.RecordBatch]:
+    """Sets of the documents whose bit is set in the bitmaps ``wanted`` (others may be among them)."""
     for b in batches:
-        if b.num_rows:
-            bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("bitmap_a", "bitmap_b")]
-            total = b.column("na").to_numpy() + b.column("nb").to_numpy()
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1)
-            b = b.filter(pa.array((total - apart) >= 2 * least_overlap(total, percent)))
-        yield b.select(["a", "b"])
+        b = b.filter(pa.array([k in wanted and wanted[k][bit >> 3] >> (bit & 7) & 1 == 1 for k, bit in zip(b.column("k").to_pylist(), b.column("bit").to_pylist(), strict=True)], pa.bool_()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(t, width).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "own"])
 
 
-def sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(t, width).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "own"])
+def with_bit(ids: DataFrame) -> DataFrame:
+    """Adds each doc_id's place in a bitmap of ``FILTER_BITS`` bits."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    return ids.withColumns({"k": F.bitmap_bucket_number(at), "bit": F.bitmap_bit_position(at)})
 
 
 def verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -138,26 +141,55 @@ def verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def join_links(pairs: DataFrame, profiles: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links among candidate ``pairs(a, b)``: suffix filter, then exact verification."""
-    side = profiles.select("doc_id", "n", "bitmap")
-    both = pairs.join(side.toDF("a", "na", "bitmap_a"), "a").join(side.toDF("b", "nb", "bitmap_b"), "b")
-    near = materialize(both.mapInArrow(lambda it: keep_near(it, percent), "a long, b long"), "candidates")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = text_rows(documents).join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = materialize(texts.mapInArrow(lambda it: sets_of(it, width), "doc_id long, own binary"), "sets").dropDuplicates(["doc_id", "own"])
+def join_links(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links among candidate ``pairs(a, b)``, by their whole sets.
+
+    Only documents in a pair get their sets made; a bitmap of fixed size tells which, so
+    no text is shuffled."""
+    near = materialize(pairs, "candidates")
+    wanted = with_bit(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    bits = {r["k"]: bytes(r["bits"]) for r in wanted.groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()}
+    shared = near.sparkSession.sparkContext.broadcast(bits)
+    own = with_bit(text_rows(documents)).mapInArrow(lambda it: sets_of(it, shared.value, width), "doc_id long, own binary")
+    sets = materialize(own, "sets").dropDuplicates(["doc_id", "own"])
     rows = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return rows.mapInArrow(lambda it: verified(it, percent), "a long, b long")
 
 
+def needed(na: Column, nb: Column, percent: int) -> Column:
+    return F.ceil(percent * (na + nb) / (100 + percent))
+
+
+def apart(x: str, y: str) -> Column:
+    """In how many bits the parity bitmaps of two rows differ."""
+    return sum((F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) for c in BITMAP), F.lit(0))
+
+
 def fits(na: Column, nb: Column, i: Column, j: Column, percent: int) -> Column:
     """Length and positional filters, for the first shingle that two prefixes share."""
-    need = F.ceil(percent * (na + nb) / (100 + percent))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - i, nb - j) >= need)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - i, nb - j) >= needed(na, nb, percent))
+
+
+def candidate(percent: int) -> Column:
+    """Whether the rows x and y of a bucket, not connected yet, pass all filters."""
+    na, nb = F.col("nx"), F.col("ny")
+    suffix = na + nb - apart("x", "y") >= 2 * needed(na, nb, percent)
+    return (F.col("componentx") != F.col("componenty")) & fits(na, nb, F.col("ix"), F.col("iy"), percent) & suffix
 
 
-def near_groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
+def unconnected(live: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    placed = live.join(found.withColumnRenamed("node", "d"), "d", "left").withColumn("component", F.coalesce("component", "d"))
+    bucket = Window.partitionBy("h")
+    ends = placed.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket)})
+    return ends.where("low < high").drop("low", "high")
+
+
+def near_groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row.
+
+    ``rounds`` bounds the rounds that link neighbours; the last round takes whatever is left.
+    """
     spark = documents.sparkSession
     source = text_rows(documents)
     chunks = source.select("text").mapInArrow(lambda it: sketch(it, width), "chunk int, counts binary")
@@ -166,30 +198,36 @@ def near_groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT
     for r in added:
         counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint32)
     shared = spark.sparkContext.broadcast(counts)
-    schema = "doc_id long, n long, set_key binary, prefix array<long>, bitmap binary"
+    schema = "doc_id long, n long, set_key binary, prefix array<long>, " + ", ".join(f"{c} long" for c in BITMAP)
     profiles = materialize(source.mapInArrow(lambda it: profile(it, shared.value, width, percent), schema), "profiles")
     members = profiles.groupBy("set_key").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     heads = profiles.where("n > 0").join(members.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
     heads = materialize(heads, "heads")
     rows = heads.select("n", F.col("doc_id").alias("d"), F.posexplode("prefix").alias("i", "h"))
-    live = materialize(rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("k > 1").drop("k"), "live")
-
-    order = Window.partitionBy("h").orderBy("n", "d")
-    beside = live.withColumns({c + "0": F.lag(c).over(order) for c in ("d", "n", "i")}).where("d0 <> d")
-    beside = beside.where(fits(F.col("n0"), F.col("n"), F.col("i0"), F.col("i"), percent)).groupBy(F.col("d0").alias("a"), F.col("d").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    best = beside.withColumn("at", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("k"), "a"))).where("at <= 2")
-    links = materialize(join_links(best.select("a", "b"), heads, documents, width, percent), "links")
-    found = components(links, "components")
-
-    placed = live.join(found.withColumnRenamed("node", "d"), "d", "left").withColumn("component", F.coalesce("component", "d"))
-    bucket = Window.partitionBy("h")
-    mixed_ = placed.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket)}).where("low < high").drop("low", "high")
-    mixed_ = materialize(mixed_, "mixed")
-    x, y = (mixed_.select("h", *[F.col(c).alias(c + s) for c in ("d", "n", "i", "component")]) for s in "xy")
-    rest = x.join(y, "h").where((F.col("dx") < F.col("dy")) & (F.col("componentx") != F.col("componenty")) & fits(F.col("nx"), F.col("ny"), F.col("ix"), F.col("iy"), percent))
-    rest = rest.select(F.col("dx").alias("a"), F.col("dy").alias("b")).distinct()
-    more = join_links(rest, heads, documents, width, percent)
-    found = components(links.unionByName(more), "components")
+    live = materialize(rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("k > 1"), "live")
+
+    weights = live.groupBy("d").agg(F.sum("k").alias("weight"))
+    live = materialize(live.drop("k").join(weights, "d").join(heads.select(F.col("doc_id").alias("d"), *BITMAP), "d"), "placed")
+    columns, bucket, links = ["d", "n", "i", "component", *BITMAP], Window.partitionBy("h"), None
+    found = live.select(F.col("d").alias("node"), F.col("d").alias("component")).distinct()
+    for _ in range(rounds):
+        several = unconnected(live, found)
+        row, by_weight = F.struct(*columns), bucket.orderBy(F.desc("weight"), "d")
+        beside = several.withColumns({"centre": F.first(row).over(by_weight), "next": F.lag(row).over(by_weight)})
+        beside = beside.withColumn("other", F.explode(F.array("centre", "next"))).where("other is not null")
+        beside = beside.select(*[F.col(f"other.{c}").alias(c + "x") for c in columns], *[F.col(c).alias(c + "y") for c in columns]).where(candidate(percent))
+        nearest = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))
+        best = beside.select(F.col("dx").alias("a"), F.col("dy").alias("b"), apart("x", "y").alias("apart")).distinct().withColumn("at", nearest).where("at <= 2")
+        new = materialize(join_links(best.select("a", "b"), documents, width, percent), "links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        found = components(links, "components")
+    several = materialize(unconnected(live, found), "several")
+    x, y = (several.select(F.col("h").alias("h" + s), *[F.col(c).alias(c + s) for c in columns]) for s in "xy")
+    rest = x.join(y, (F.col("hx") == F.col("hy")) & (F.col("dx") < F.col("dy")) & candidate(percent))
+    more = join_links(rest.select(F.col("dx").alias("a"), F.col("dy").alias("b")).distinct(), documents, width, percent)
+    found = components(more if links is None else links.unionByName(more), "components")
 
     groups = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class"))
     out = profiles.select("doc_id", "n", "set_key").join(groups, "set_key", "left")
