@@ -11,8 +11,10 @@ from gridframe.llm import op01_lm as lm
 from gridframe.llm import op02_decontamination as decontamination
 from gridframe.llm import op03_packing as packing
 from gridframe.llm import op04_language as language
+from gridframe.llm import op05_quality as quality
 from gridframe.llm import op06_license as license_scan
 from gridframe.llm import op07_repeats as repeats
+from gridframe.llm import op08_html as pages_html
 from gridframe.llm import op09_jaccard as jaccard
 from gridframe.llm import op10_topk as topk
 
@@ -43,6 +45,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.cross_fit(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return license_scan.scan(documents, license_scan.known_notices(documents))
@@ -52,6 +58,10 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents"))
 
@@ -61,5 +71,5 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_benchmark_decontamination, op3_best_fit_packing, op4_language_id, op6_license_scan, op7_suffix_array_dedup, op9_ngram_jaccard_join, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_benchmark_decontamination, op3_best_fit_packing, op4_language_id, op5_quality_classifier, op6_license_scan, op7_suffix_array_dedup, op8_html_extraction, op9_ngram_jaccard_join, op10_exact_topk)}
 ORACLE_SQL: dict[str, str] = {}

@@ -184,7 +184,7 @@ def covered(rows: pd.DataFrame, width: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": out[a, 0], "start": out[a, 1], "end": out[z, 1] + width})
 
 
-def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cut_out(batches: Iterator[pa.RecordBatch], kept_columns: list[str]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         spans, kept = [], []
         for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
@@ -197,11 +197,12 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edges = [0, *[x for r in merged for x in r], len(text)]
             kept.append(b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
             spans.append([{"start": s, "end": e} for s, e in merged])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "text", "spans", "kept"])
+        runs = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        yield pa.RecordBatch.from_arrays([*map(b.column, kept_columns), runs, pa.array(kept, pa.binary())], [*kept_columns, "spans", "kept"])
 
 
-def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text (bytes), spans removed, kept (the remaining bytes) of every row."""
+def remove_repeats(documents: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (bytes), the columns to keep, spans removed, kept (the remaining bytes) of every row."""
     spark = documents.sparkSession
     source = text_rows(documents)
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -217,7 +218,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         return pd.Series([k in held and held[k][p >> 3] >> (p & 7) & 1 == 1 for k, p in zip(ks, places, strict=True)], index=ids.index)
 
     hit = F.pandas_udf(maybe, "boolean")("doc_id", F.bitmap_bucket_number(at), F.bitmap_bit_position(at))
-    marked = documents.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(hit, F.lit(False)).alias("hit"))
+    marked = documents.select("doc_id", F.col("text").cast("binary").alias("text"), *keep, F.coalesce(hit, F.lit(False)).alias("hit"))
     texts = materialize(marked.where("hit and doc_id is not null and text is not null").drop("hit"), "texts")
     starts = marks.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     runs = texts.join(starts, "doc_id").mapInArrow(lambda it: contexts(it, blocks, width), "block int, doc_id long, start long, part binary")
@@ -226,9 +227,11 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     across = runs.where("block >= 0").groupBy("block").applyInPandas(lambda rows: covered(rows.drop(columns="block"), width), "doc_id long, start long, end long")
     gone = inside.unionByName(across).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     empty = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
-    rows = texts.join(gone, "doc_id", "left").select("doc_id", "text", "runs")
-    rest = marked.where("not hit or doc_id is null or text is null").select("doc_id", "text", empty.alias("runs"))
-    return rows.unionByName(rest).mapInArrow(cut_out, "doc_id long, text binary, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    rows = texts.join(gone, "doc_id", "left").select("doc_id", "text", *keep, "runs")
+    rest = marked.where("not hit or doc_id is null or text is null").select("doc_id", "text", *keep, empty.alias("runs"))
+    kept = ["doc_id", "text", *keep]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "runs")
+    return rows.unionByName(rest).mapInArrow(lambda it: cut_out(it, kept), types + ", spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def digest(found: DataFrame) -> DataFrame:
