@@ -232,7 +232,7 @@ def nan_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 THETA, PHI = "radians(1 + c_custkey % 178)", "radians(c_custkey % 360 - 180)"
 
 
-@query(f"SELECT c_custkey, round(sin({THETA}) * cos({PHI}), 9) AS x, round(sin({THETA}) * sin({PHI}), 9) AS y, round(cos({THETA}), 9) AS z FROM customer")
+@query(f"SELECT c_custkey, round(sin({THETA}) * cos({PHI}), 9) + 0 AS x, round(sin({THETA}) * sin({PHI}), 9) + 0 AS y, round(cos({THETA}), 9) + 0 AS z FROM customer")
 def sph_to_cart(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").withColumn("s", sphere.sph_to_cart(F.expr(THETA), F.expr(PHI)))
     return rows.select("c_custkey", *[F.round(f"s.{c}", 9).alias(c) for c in "xyz"])
@@ -241,7 +241,7 @@ def sph_to_cart(spark: SparkSession, sf_dir: str) -> DataFrame:
 XYZ = ("1 + c_custkey % 7", "2 - c_custkey % 5", "3 + c_nationkey")
 
 
-@query("SELECT c_custkey, round(sqrt(x*x + y*y + z*z), 9) AS r, round(acos(z / sqrt(x*x + y*y + z*z)), 9) AS theta, round(atan2(y, x), 9) AS phi FROM (SELECT c_custkey, (1 + c_custkey % 7)::DOUBLE x, (2 - c_custkey % 5)::DOUBLE y, (3 + c_nationkey)::DOUBLE z FROM customer)")
+@query("SELECT c_custkey, round(sqrt(x*x + y*y + z*z), 9) + 0 AS r, round(acos(z / sqrt(x*x + y*y + z*z)), 9) + 0 AS theta, round(atan2(y, x), 9) + 0 AS phi FROM (SELECT c_custkey, (1 + c_custkey % 7)::DOUBLE x, (2 - c_custkey % 5)::DOUBLE y, (3 + c_nationkey)::DOUBLE z FROM customer)")
 def cart_to_sph(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").withColumn("s", sphere.cart_to_sph(*[F.expr(e).cast("double") for e in XYZ]))
     return rows.select("c_custkey", *[F.round(f"s.{c}", 9).alias(c) for c in ("r", "theta", "phi")])
@@ -250,13 +250,13 @@ def cart_to_sph(spark: SparkSession, sf_dir: str) -> DataFrame:
 LON, LAT = "radians(c_custkey % 360)", "radians(c_nationkey * 7 - 85)"
 
 
-@query(f"SELECT c_custkey, round(2 * asin(sqrt(pow(sin((0.5 - {LAT}) / 2), 2) + cos({LAT}) * cos(0.5) * pow(sin((1.5 - {LON}) / 2), 2))), 9) AS distance FROM customer")
+@query(f"SELECT c_custkey, round(2 * asin(sqrt(pow(sin((0.5 - {LAT}) / 2), 2) + cos({LAT}) * cos(0.5) * pow(sin((1.5 - {LON}) / 2), 2))), 9) + 0 AS distance FROM customer")
 def sphdist(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sphere.sphdist(F.expr(LON), F.expr(LAT), F.lit(1.5), F.lit(0.5))
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(d, 9).alias("distance"))
 
 
-@query(f"SELECT c_custkey, round(-cos({LAT}) * sin({LON}), 9) AS x, round(cos(0.86) * sin({LAT}) - sin(0.86) * cos({LAT}) * cos({LON}), 9) AS y, round(sin(0.86) * sin({LAT}) + cos(0.86) * cos({LAT}) * cos({LON}), 9) AS z FROM customer")
+@query(f"SELECT c_custkey, round(-cos({LAT}) * sin({LON}), 9) + 0 AS x, round(cos(0.86) * sin({LAT}) - sin(0.86) * cos({LAT}) * cos({LON}), 9) + 0 AS y, round(sin(0.86) * sin({LAT}) + cos(0.86) * cos({LAT}) * cos({LON}), 9) + 0 AS z FROM customer")
 def sph_to_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").withColumn("s", sphere.sph_to_ground(F.expr(LON), F.lit(0.86), F.expr(LAT)))
     return rows.select("c_custkey", *[F.round(f"s.{c}", 9).alias(c) for c in "xyz"])
@@ -265,7 +265,7 @@ def sph_to_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT c_custkey, (1 + c_custkey % 7)::DOUBLE x, (2 - c_custkey % 5)::DOUBLE y, (3 + c_nationkey)::DOUBLE z FROM customer),
   b AS (SELECT c_custkey, x * cos(0.3) - y * sin(0.3) x1, x * sin(0.3) + y * cos(0.3) y1, z FROM a),
   c AS (SELECT c_custkey, x1, y1 * cos(0.2) + z * sin(0.2) y2, -y1 * sin(0.2) + z * cos(0.2) z2 FROM b)
-  SELECT c_custkey, round(x1 * cos(0.1) - z2 * sin(0.1), 9) AS x, round(y2, 9) AS y, round(x1 * sin(0.1) + z2 * cos(0.1), 9) AS z FROM c""")
+  SELECT c_custkey, round(x1 * cos(0.1) - z2 * sin(0.1), 9) + 0 AS x, round(y2, 9) + 0 AS y, round(x1 * sin(0.1) + z2 * cos(0.1), 9) + 0 AS z FROM c""")
 def rotate_ypr(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = sphere.rotate_ypr(F.lit(0.3), F.lit(0.2), F.lit(0.1), *[F.expr(e).cast("double") for e in XYZ])
     rows = table(spark, sf_dir, "customer").withColumn("s", turned)
@@ -292,7 +292,7 @@ def leap_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", timescale.leap_seconds(timescale.unix_time(F.col("o_orderdate"))).alias("leaps"))
 
 
-@query("SELECT vec_id, round(a * c - b * d, 9) AS re, round(a * d + b * c, 9) AS im, round(sqrt(a * a + b * b), 9) AS size FROM (SELECT vec_id, embedding[1]::DOUBLE a, embedding[2]::DOUBLE b, embedding[3]::DOUBLE c, embedding[4]::DOUBLE d FROM embeddings)")
+@query("SELECT vec_id, round(a * c - b * d, 9) + 0 AS re, round(a * d + b * c, 9) + 0 AS im, round(sqrt(a * a + b * b), 9) + 0 AS size FROM (SELECT vec_id, embedding[1]::DOUBLE a, embedding[2]::DOUBLE b, embedding[3]::DOUBLE c, embedding[4]::DOUBLE d FROM embeddings)")
 def complex_multiply(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")
     x, y = numeric.complex_of(e[0], e[1]), numeric.complex_of(e[2], e[3])
@@ -305,7 +305,7 @@ def json_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("""SELECT i, round(CASE WHEN x = 0 THEN 1 ELSE sin(pi() * x) / (pi() * x) END * (0.54 - 0.46 * cos(2 * pi() * i / 255)), 9) AS w
+@query("""SELECT i, round(CASE WHEN x = 0 THEN 1 ELSE sin(pi() * x) / (pi() * x) END * (0.54 - 0.46 * cos(2 * pi() * i / 255)), 9) + 0 AS w
   FROM (SELECT range AS i, (range / 256.0::DOUBLE - 0.5) * 4 AS x FROM range(256))""")
 def window_sinc_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(256).select(F.col("id").alias("i"), F.round(signal.sinc_window(F.col("id"), 4, 64), 9).alias("w"))
