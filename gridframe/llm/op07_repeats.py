@@ -35,6 +35,8 @@ WIDTH, ANCHOR = 100, 32
 MODULUS, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 BLOCK_BYTES = 12 << 20
 FILTER_BITS = 1 << 26
+#: Positions that are looked at together, below 2**24.
+CHUNK = 1 << 22
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
@@ -61,7 +63,7 @@ def rolling(data: np.ndarray, width: int, base: int = MULTIPLIERS[0]) -> np.ndar
     return h ^ (h >> np.uint64(29))
 
 
-def groups_of(b: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def groups_of(b: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
     ids, texts = b.column("doc_id").to_pylist(), [t or b"" for t in b.column("text").to_pylist()]
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -125,18 +127,38 @@ def repeated(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": docs[keep], "start": start[keep].astype(np.int64)})
 
 
+def slices(b: pa.RecordBatch, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about ``limit`` bytes of text."""
+    sizes = np.cumsum([0, *[len(t.as_buffer() or b"") if t.is_valid else 0 for t in b.column("text")]])
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + limit, "right")) - 1)
+        yield b.slice(at, end - at)
+        at = end
+
+
+def least_places(h: np.ndarray, width: int) -> np.ndarray:
+    """Where the least hash of each run of ``width`` stands (the first of equals), by minima of doubling runs."""
+    low = np.uint64((1 << 24) - 1)
+    best, span = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
+    while 2 * span <= width:
+        best, span = np.minimum(best[:-span], best[span:]), 2 * span
+    rest = width - span
+    return ((np.minimum(best[:-rest], best[rest:]) if rest else best) & low).astype(np.int64)
+
+
 def contexts(batches: Iterator[pa.RecordBatch], blocks: int, width: int) -> Iterator[pa.RecordBatch]:
     """Runs of candidate strings that share their least prefix, as (block, doc_id, start, bytes);
-    block -1: a run that also starts earlier within the batch."""
+    block -1: a run that also starts earlier within the rows at hand."""
     lead = width - ANCHOR + 1
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole)):
         first: dict[bytes, tuple[int, int, int]] = {}
         rows: list[tuple[int, int, int, bytes]] = []
-        for doc, text, starts in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
+        for doc, text, starts in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("starts"), strict=True):
             n = len(text) - width + 1
             if n < 1:
                 continue
-            at = np.array(starts)
+            at = starts.values.to_numpy()
             edges = np.zeros(n + 1, np.int64)
             np.add.at(edges, np.minimum(np.maximum(at - MODULUS + 1, 0), n), 1)
             np.add.at(edges, np.minimum(at + 1, n), -1)
@@ -144,8 +166,7 @@ def contexts(batches: Iterator[pa.RecordBatch], blocks: int, width: int) -> Iter
             if not len(own):
                 continue
             h = rolling(np.frombuffer(text, np.uint8), ANCHOR)
-            windows = np.lib.stride_tricks.sliding_window_view(h, lead)
-            least = np.concatenate([own[i : i + 100_000] + windows[own[i : i + 100_000]].argmin(1) for i in range(0, len(own), 100_000)])
+            least = np.concatenate([i + least_places(h[i : i + CHUNK + lead - 1], lead) for i in range(0, n, CHUNK)])[own]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1, [len(own)]])
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 s, e = int(own[i]), int(own[j - 1]) + width
@@ -203,22 +224,17 @@ def cut_out(batches: Iterator[pa.RecordBatch], kept_columns: list[str]) -> Itera
 
 def remove_repeats(documents: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (bytes), the columns to keep, spans removed, kept (the remaining bytes) of every row."""
-    spark = documents.sparkSession
     source = text_rows(documents)
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + int(size * len(COVER) / MODULUS * 16 / BLOCK_BYTES)
     prefixes = source.where("doc_id is not null").mapInArrow(lambda it: sample(it, blocks, width), "block int, names binary, docs binary, of binary, start binary")
     marks = materialize(prefixes.groupBy("block").applyInPandas(repeated, "doc_id long, start long"), "repeated")
     at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = marks.select("doc_id").distinct().groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    shared = spark.sparkContext.broadcast({r["k"]: bytes(r["bits"]) for r in bits})
-
-    def maybe(ids: pd.Series, ks: pd.Series, places: pd.Series) -> pd.Series:
-        held = shared.value
-        return pd.Series([k in held and held[k][p >> 3] >> (p & 7) & 1 == 1 for k, p in zip(ks, places, strict=True)], index=ids.index)
-
-    hit = F.pandas_udf(maybe, "boolean")("doc_id", F.bitmap_bucket_number(at), F.bitmap_bit_position(at))
-    marked = documents.select("doc_id", F.col("text").cast("binary").alias("text"), *keep, F.coalesce(hit, F.lit(False)).alias("hit"))
+    bits = marks.select("doc_id").distinct().groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    hit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) & 1 = 1")
+    placed = documents.select("doc_id", F.col("text").cast("binary").alias("text"), *keep, F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("place"))
+    # the bitmap has 8 MB at most, whatever the input
+    marked = placed.join(F.broadcast(materialize(bits, "bits")), "k", "left").select("doc_id", "text", *keep, F.coalesce(hit, F.lit(False)).alias("hit"))
     texts = materialize(marked.where("hit and doc_id is not null and text is not null").drop("hit"), "texts")
     starts = marks.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     runs = texts.join(starts, "doc_id").mapInArrow(lambda it: contexts(it, blocks, width), "block int, doc_id long, start long, part binary")
