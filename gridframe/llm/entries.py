@@ -72,4 +72,4 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_benchmark_decontamination, op3_best_fit_packing, op4_language_id, op5_quality_classifier, op6_license_scan, op7_suffix_array_dedup, op8_html_extraction, op9_ngram_jaccard_join, op10_exact_topk)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql()}

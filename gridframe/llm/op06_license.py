@@ -68,3 +68,15 @@ def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
 def known_notices(documents: DataFrame) -> DataFrame:
     """The notices above as a table of known licences."""
     return documents.sparkSession.createDataFrame(list(NOTICES), "license_id string, text string")
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL with the rows of ``scan`` for the notices above."""
+    out = "' ' || trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '" + COPYRIGHT_LINE + r"', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) || ' '"
+    for variant, word in EQUIVALENT:
+        out = f"replace({out}, ' {variant} ', ' {word} ')"
+    known = ", ".join(f"('{name}', '{text}')" for name, text in NOTICES)
+    return f"""WITH k AS (SELECT sha256(trim({out})) AS digest, min(name) AS license_id FROM (VALUES {known}) v(name, text) GROUP BY 1),
+      d AS (SELECT doc_id, trim({out}) AS form FROM documents),
+      f AS (SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest, length(form) AS n_canonical FROM d)
+      SELECT doc_id, digest, n_canonical, license_id FROM f LEFT JOIN k USING (digest)"""
