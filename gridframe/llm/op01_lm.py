@@ -205,7 +205,7 @@ def score_rows(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, flat:
             row, at = vocabulary.class_rows(ids, rest)
             flat_ids, lengths = np.concatenate([np.array(x, np.int64) for x in ids]), np.array([len(x) for x in ids])
             first, head = np.cumsum(lengths) - lengths, flat_ids < size
-            count_logs = np.where(head, logs[np.minimum(flat_ids, size - 1)] if size else 0, 0)
+            count_logs = np.where(head, logs[np.minimum(flat_ids, size - 1)] if size else 0.0, 0.0)
             own = flat_ids >= min(SINGLES, size)  # tokens that share their class
             score = model.log_probabilities(row, at) / np.log(10) + np.where(own, count_logs - in_class[row[at]], 0)
             words = []
@@ -219,13 +219,29 @@ def score_rows(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, flat:
             yield pa.RecordBatch.from_arrays([key, *map(p.column, kept), pa.array(lengths), *map(pa.array, sums), rows], ["row", *kept, "n_tokens", "known", "count_logs", "class_score", "rest"])
 
 
+def most_frequent(counts: DataFrame, head: int) -> list[tuple[bytes, int]]:
+    """At most ``head`` tokens with their counts, most frequent first.
+
+    Counts are told apart in steps of an eighth of a power of two, and whole steps are
+    taken, so the driver gets a few hundred rows and then the tokens that it keeps."""
+    step = F.floor(8 * F.log2("n"))
+    least, total = None, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        total += r["n"]
+        if total > head:
+            break
+        least = r["step"]
+    rows = [] if least is None else counts.where(step >= least).collect()
+    return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def fit(training: DataFrame, head: int = HEAD, start_rows: int = START_ROWS) -> tuple[DataFrame, Vocabulary, np.ndarray, int, int]:
     """Token counts (a table), the vocabulary, the parameters, N and V of ``training(doc_id, text)``."""
     spark = training.sparkSession
     training = text_rows(training)
     counts = materialize(training.mapInArrow(count_tokens, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "tokens")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(head).collect()]
+    top = most_frequent(counts, head)
     singles = spark.sparkContext.broadcast({w: i for i, (w, _) in enumerate(top[:SINGLES])})
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

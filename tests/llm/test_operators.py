@@ -51,6 +51,15 @@ def test_lm(spark, docs, empty):
     assert lm.cross_fit(empty).count() == 0
 
 
+def test_lm_head_takes_whole_steps(spark, docs):
+    counts = spark.createDataFrame([(bytes([97 + i]), n) for i, n in enumerate([9, 5, 5, 3, 1, 1])], "word binary, n long")
+    assert lm.most_frequent(counts, 10) == [(b"a", 9), (b"b", 5), (b"c", 5), (b"d", 3), (b"e", 1), (b"f", 1)]
+    assert lm.most_frequent(counts, 5) == [(b"a", 9), (b"b", 5), (b"c", 5), (b"d", 3)]
+    assert lm.most_frequent(counts, 2) == [(b"a", 9)] and lm.most_frequent(counts, 0) == []
+    whole, few = ({r["doc_id"]: r for r in lm.score(docs, lm.fit(docs, head)).collect()} for head in (lm.HEAD, 0))
+    assert all(r["n_known"] == few[d]["n_known"] and math.isclose(r["base_score"], few[d]["base_score"], rel_tol=1e-9) for d, r in whole.items())
+
+
 def test_lm_is_normalised():
     model = lm.Model(np.arange(lm.CLASSES))
     row = np.concatenate([np.zeros(lm.CONTEXT, int), [7]])
