@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a bitmap of ids: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 #: ASCII upper case to lower case, everything else kept.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -43,6 +45,17 @@ def text_rows(documents: DataFrame, *more: str) -> DataFrame:
     return documents.select("doc_id", F.col("text").cast("binary").alias("text"), *more)
 
 
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Adds ``hit``: whether a row's doc_id is one of ``ids`` (a few others may be hit too).
+
+    The ids become a bitmap of fixed size, so no row is shuffled."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = ids.select("doc_id").distinct().groupBy(F.bitmap_bucket_number(at).alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    hit = F.expr("shiftright(cast(conv(hex(substring(_bits, cast(_place div 8 as int) + 1, 1)), 16, 10) as int), cast(_place % 8 as int)) & 1 = 1")
+    placed = rows.withColumns({"_k": F.bitmap_bucket_number(at), "_place": F.bitmap_bit_position(at)})
+    return placed.join(F.broadcast(materialize(bits, "bits")), "_k", "left").withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_k", "_place", "_bits")
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """Connected components of ``links(a, b)``: (node, component), component the smallest node.
 

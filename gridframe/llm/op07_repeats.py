@@ -28,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import materialize, text_rows
+from gridframe.llm.common import among, materialize, text_rows
 
 WIDTH, ANCHOR = 100, 32
 #: A perfect difference cover: every remainder is a difference of two of these (fixed values).
 MODULUS, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 BLOCK_BYTES = 12 << 20
-FILTER_BITS = 1 << 26
 #: Positions that are looked at together, below 2**24.
 CHUNK = 1 << 22
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -229,12 +228,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, keep: tuple[str, ..
     blocks = 1 + int(size * len(COVER) / MODULUS * 16 / BLOCK_BYTES)
     prefixes = source.where("doc_id is not null").mapInArrow(lambda it: sample(it, blocks, width), "block int, names binary, docs binary, of binary, start binary")
     marks = materialize(prefixes.groupBy("block").applyInPandas(repeated, "doc_id long, start long"), "repeated")
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = marks.select("doc_id").distinct().groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    hit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) & 1 = 1")
-    placed = documents.select("doc_id", F.col("text").cast("binary").alias("text"), *keep, F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("place"))
-    # the bitmap has 8 MB at most, whatever the input
-    marked = placed.join(F.broadcast(materialize(bits, "bits")), "k", "left").select("doc_id", "text", *keep, F.coalesce(hit, F.lit(False)).alias("hit"))
+    marked = among(documents.select("doc_id", F.col("text").cast("binary").alias("text"), *keep), marks)
     texts = materialize(marked.where("hit and doc_id is not null and text is not null").drop("hit"), "texts")
     starts = marks.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     runs = texts.join(starts, "doc_id").mapInArrow(lambda it: contexts(it, blocks, width), "block int, doc_id long, start long, part binary")

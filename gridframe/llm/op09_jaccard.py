@@ -29,13 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import LOWER, components, materialize, text_rows
+from gridframe.llm.common import LOWER, among, components, materialize, text_rows
 
 WIDTH, PERCENT, ROUNDS = 4, 85, 3
 SKETCH_BITS, BITMAP_BITS, CHUNK = 20, 512, 1 << 14
 BITMAP = [f"bits{k}" for k in range(BITMAP_BITS // 64)]
-#: The bitmap of documents in candidate pairs: 8 MB, whatever the input.
-FILTER_BITS = 1 << 26
 _hashes: dict[bytes, int] = {}
 
 
@@ -118,19 +116,11 @@ def profile(batches: Iterator[pa.RecordBatch], counts: np.ndarray, width: int, p
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), prefix, *map(pa.array, words)], ["doc_id", "n", "set_key", "prefix", *BITMAP])
 
 
-def sets_of(batches: Iterator[pa.RecordBatch], wanted: dict[int, bytes], width: int) -> Iterator[pa.RecordBatch]:
-    """Sets of the documents whose bit is set in the bitmaps ``wanted`` (others may be among them)."""
+def sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        b = b.filter(pa.array([k in wanted and wanted[k][bit >> 3] >> (bit & 7) & 1 == 1 for k, bit in zip(b.column("k").to_pylist(), b.column("bit").to_pylist(), strict=True)], pa.bool_()))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(t, width).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "own"])
 
 
-def with_bit(ids: DataFrame) -> DataFrame:
-    """Adds each doc_id's place in a bitmap of ``FILTER_BITS`` bits."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    return ids.withColumns({"k": F.bitmap_bucket_number(at), "bit": F.bitmap_bit_position(at)})
-
-
 def verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
@@ -147,10 +137,8 @@ def join_links(pairs: DataFrame, documents: DataFrame, width: int, percent: int)
     Only documents in a pair get their sets made; a bitmap of fixed size tells which, so
     no text is shuffled."""
     near = materialize(pairs, "candidates")
-    wanted = with_bit(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    bits = {r["k"]: bytes(r["bits"]) for r in wanted.groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()}
-    shared = near.sparkSession.sparkContext.broadcast(bits)
-    own = with_bit(text_rows(documents)).mapInArrow(lambda it: sets_of(it, shared.value, width), "doc_id long, own binary")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    own = among(text_rows(documents), wanted).where("hit").select("doc_id", "text").mapInArrow(lambda it: sets_of(it, width), "doc_id long, own binary")
     sets = materialize(own, "sets").dropDuplicates(["doc_id", "own"])
     rows = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return rows.mapInArrow(lambda it: verified(it, percent), "a long, b long")
