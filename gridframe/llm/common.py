@@ -59,25 +59,24 @@ def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def components(links: DataFrame, name: str) -> DataFrame:
     """Connected components of ``links(a, b)``: (node, component), component the smallest node.
 
-    Alternates large-star and small-star rounds until the edges no longer change, so
-    long chains take a logarithmic number of rounds; every round is a table.
+    Alternates large-star and small-star rounds until every node points to its component
+    only, so long chains take a logarithmic number of rounds; every round is a table.
+    A component's smallest node may be missing from the result.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    while True:
+    while not only_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # every node of `large` now points to smaller nodes only
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = (
-            joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        after = materialize(small, name)
-        marks = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-        if tuple(edges.agg(*marks).first()) == tuple(after.agg(*marks).first()):
-            return after.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-        edges = after
+        pointed = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(least, "u").select(F.explode(pointed).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        edges = materialize(small, name)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def only_stars(edges: DataFrame) -> bool:
+    """Whether each node u of ``edges(u, v)`` points once, and to a node that points nowhere."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("out")), F.struct(F.col("v").alias("n"), F.lit(0).alias("out")))).alias("e"))
+    return ends.groupBy("e.n").agg(F.sum("e.out").alias("out"), F.min("e.out").alias("least")).where("out > least").isEmpty()

@@ -165,14 +165,20 @@ def candidate(percent: int) -> Column:
     return (F.col("componentx") != F.col("componenty")) & fits(na, nb, F.col("ix"), F.col("iy"), percent) & suffix
 
 
-def unconnected(live: DataFrame, found: DataFrame) -> DataFrame:
+def unconnected(live: DataFrame, found: DataFrame | None) -> DataFrame:
     """The rows of buckets that hold more than one component."""
-    placed = live.join(found.withColumnRenamed("node", "d"), "d", "left").withColumn("component", F.coalesce("component", "d"))
+    known = live.withColumn("component", F.lit(None).cast("long")) if found is None else live.join(found.withColumnRenamed("node", "d"), "d", "left")
+    placed = known.withColumn("component", F.coalesce("component", "d"))
     bucket = Window.partitionBy("h")
     ends = placed.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket)})
     return ends.where("low < high").drop("low", "high")
 
 
+def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after more links."""
+    return components(links if found is None else links.unionByName(found.toDF("a", "b")), "components")
+
+
 def near_groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row.
 
@@ -196,8 +202,7 @@ def near_groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
     weights = live.groupBy("d").agg(F.sum("k").alias("weight"))
     live = materialize(live.drop("k").join(weights, "d").join(heads.select(F.col("doc_id").alias("d"), *BITMAP), "d"), "placed")
-    columns, bucket, links = ["d", "n", "i", "component", *BITMAP], Window.partitionBy("h"), None
-    found = live.select(F.col("d").alias("node"), F.col("d").alias("component")).distinct()
+    columns, bucket, found = ["d", "n", "i", "component", *BITMAP], Window.partitionBy("h"), None
     for _ in range(rounds):
         several = unconnected(live, found)
         row, by_weight = F.struct(*columns), bucket.orderBy(F.desc("weight"), "d")
@@ -209,13 +214,12 @@ def near_groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT
         new = materialize(join_links(best.select("a", "b"), documents, width, percent), "links")
         if new.isEmpty():
             break
-        links = new if links is None else links.unionByName(new)
-        found = components(links, "components")
+        found = joined(found, new)
     several = materialize(unconnected(live, found), "several")
     x, y = (several.select(F.col("h").alias("h" + s), *[F.col(c).alias(c + s) for c in columns]) for s in "xy")
     rest = x.join(y, (F.col("hx") == F.col("hy")) & (F.col("dx") < F.col("dy")) & candidate(percent))
     more = join_links(rest.select(F.col("dx").alias("a"), F.col("dy").alias("b")).distinct(), documents, width, percent)
-    found = components(more if links is None else links.unionByName(more), "components")
+    found = joined(found, more)
 
     groups = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class"))
     out = profiles.select("doc_id", "n", "set_key").join(groups, "set_key", "left")
