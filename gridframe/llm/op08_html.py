@@ -1,10 +1,10 @@
 """Main text of web pages by templates deduced from equivalence classes.
 
 A page is a sequence of tokens: tags with their path, and blocks of text with theirs.
-Over the pages of a host each token has an occurrence vector (how often it stands on each
-page); tokens with equal vectors form an equivalence class.  A class is valid if it holds
-several tokens and stands on at least half of the host's pages, of which there must be
-some; classes nest by the paths of their tokens, and the valid ones are the host's
+Over the distinct pages of a host (those that differ in their tokens, so copies count as
+one page) each token has an occurrence vector (how often it stands on each page); tokens
+with equal vectors form an equivalence class.  A class is valid if it holds several tokens
+and stands on at least half of the host's distinct pages, of which there must be some; classes nest by the paths of their tokens, and the valid ones are the host's
 template.  What stands between template tokens are the slots.  A slot is extracted unless
 it lies in furniture: an element that menus, footers, adverts and the like use, by name or
 by the words of its class, id or role.  Where the page marks its article, slots inside it
@@ -18,12 +18,13 @@ A null or empty page has empty text.  Repeated rows give repeated results.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,22 +102,30 @@ def token_of(path: str, text: str) -> int:
     return zlib.crc32(f"{path}|{text}".encode("utf-8", "replace")) | zlib.crc32(f"{text}|{path}".encode("utf-8", "replace")) << 31
 
 
+def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The host of each page and its tokens in order of value, 8 bytes for each time one stands there."""
+    for b in batches:
+        packed = [np.sort(np.array([token_of(path, block) for path, block, _, _ in walk(text or "")], "<i8")).tobytes() for text in b.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(packed, pa.binary())], ["host", "tokens"])
+
+
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for page, host, text in zip(*(b.column(c).to_pylist() for c in ("page_id", "host", "html")), strict=True):
-            found = Counter(token_of(path, block) for path, block, _, _ in walk(text or ""))
-            rows += [(page, host, token, n) for token, n in found.items()]
+        for host, packed in zip(b.column("host").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+            page = int.from_bytes(hashlib.sha256(packed).digest()[:8], "little", signed=True)
+            rows += [(page, host, token, n) for token, n in zip(*(x.tolist() for x in np.unique(np.frombuffer(packed, "<i8"), return_counts=True)), strict=True)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["page_id", "host", "token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["page", "host", "token", "n"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): the tokens of each host's valid equivalence classes, at most two for each token of a mean page."""
-    seen = pages.mapInArrow(occurrences, "page_id long, host string, token long, n long")
-    vector = F.sum(F.xxhash64("page_id", "n").cast("decimal(20,0)")).cast("string")
+    distinct = pages.select("host", "html").mapInArrow(contents, "host string, tokens binary").distinct()
+    seen = distinct.mapInArrow(occurrences, "page long, host string, token long, n long")
+    vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).cast("string")
     by_token = seen.groupBy("host", "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("on"))
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     often = by_token.join(sizes, "host").where("2 * on >= pages")
     valid = often.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
     return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
