@@ -7,8 +7,8 @@ with equal vectors form an equivalence class.  A class is valid if it holds seve
 and stands on at least half of the host's distinct pages, of which there must be some; classes nest by the paths of their tokens, and the valid ones are the host's
 template.  What stands between template tokens are the slots.  A slot is extracted unless
 it lies in furniture: an element that menus, footers, adverts and the like use, by name or
-by the words of its class, id or role.  Where the page marks its article, slots inside it
-are extracted and nothing in it counts as template; elsewhere template text is dropped.
+by the words of its class, id or role.  Where a host has too few pages for a template, text
+inside elements that mark an article is chosen if it is at least half of what is left.
 
 Vectors are compared by a sum of hashes of (page, count), so no host's pages meet in one
 task; a host's template is joined to its pages under several salts.
@@ -135,12 +135,11 @@ def slots(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.Rec
     for b in batches:
         out = []
         for page, template in zip(b.column("html").to_pylist(), b.column("template").to_pylist(), strict=True):
-            blocks = [x for x in walk(page or "") if x[1] and not x[2]]
-            if any(inside for *_, inside in blocks):
-                blocks = [x for x in blocks if x[3]]
-            elif template:
-                held = set(template)
-                blocks = [x for x in blocks if token_of(x[0], x[1]) not in held]
+            held = set(template or ())
+            blocks = [x for x in walk(page or "") if x[1] and not x[2] and token_of(x[0], x[1]) not in held]
+            marked_text = [x for x in blocks if x[3]]
+            if not held and 2 * sum(len(x[1]) for x in marked_text) >= sum(len(x[1]) for x in blocks):
+                blocks = marked_text
             out.append("\n\n".join(text for _, text, _, _ in blocks))
         lengths = pa.array([len(t) for t in out], pa.int64())
         yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array([t.encode("utf-8", "replace").decode() for t in out], pa.string()), lengths], [*kept, "text", "n_chars"])

@@ -16,3 +16,10 @@ def test_copies_do_not_vote(spark):
     assert got[1] == "Site name\n\nSite motto\n\nFirst x\n\nSecond x"
     assert all(got[10 + i] == "First copied\n\nSecond copied" for i in range(4))
     assert all(got[20 + i] == f"First own {i}\n\nSecond own {i}" for i in (1, 2, 3))
+
+
+def test_template_decides_where_articles_are_marked(spark):
+    page = "<body><div>Site name</div><article><h1>Title {0}</h1><p>Read our rules</p><p>Text {0}</p></article><div>Other {0}</div></body>"
+    got = extracted(spark, [(i, f"http://h/{i}", page.format(i)) for i in range(4)] + [(9, "http://alone/9", "<body><article>Teaser</article><div>The long main text of this page</div></body>")])
+    assert all(got[i] == f"Title {i}\n\nText {i}\n\nOther {i}" for i in range(4))
+    assert got[9] == "Teaser\n\nThe long main text of this page"
