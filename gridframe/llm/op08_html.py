@@ -7,7 +7,7 @@ with equal vectors form an equivalence class.  A class is valid if it holds seve
 and stands on at least half of the host's distinct pages, of which there must be some; classes nest by the paths of their tokens, and the valid ones are the host's
 template.  What stands between template tokens are the slots.  A slot is extracted unless
 it lies in furniture: an element that menus, footers, adverts and the like use, by name or
-by the words of its class, id or role.  Where a host has too few pages for a template, text
+by its class, id or role, unless it wraps most of the page's text and all its articles.  Where a host has too few pages for a template, text
 inside elements that mark an article is chosen if it is at least half of what is left.
 
 Vectors are compared by a sum of hashes of (page, count), so no host's pages meet in one
@@ -22,6 +22,7 @@ import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,15 +52,32 @@ MARKS = set(
 
 def walk(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(path, block of text, in furniture, in an article) of each block, and ("path", "", ...) of each container's tag."""
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
-    words: list[str] = []
-    at = 0
+    found, wide = blocks_of(page)
+    for path, text, marks, inside in found:
+        yield (path, text, not wide.issuperset(marks), any(wide.issuperset(m) for m in inside))
+
 
-    def block() -> Iterator[tuple[str, str, bool, bool]]:
-        text = " ".join(html.unescape("".join(words)).split())
+def blocks_of(page: str) -> tuple[list[tuple[str, str, tuple[int, ...], tuple[tuple[int, ...], ...]]], set[int]]:
+    """Blocks and containers as (path, text, numbers of the furniture around it, those around each article around it),
+    and the numbers of the marked wrappers that hold most of the page's text and all its articles, so are no furniture."""
+    stack: list[tuple[str, tuple[int, ...], tuple[tuple[int, ...], ...]]] = [("", (), ())]
+    found: list[tuple[str, str, tuple[int, ...], tuple[tuple[int, ...], ...]]] = []
+    words: list[str] = []
+    span: list[int] | None = None  # of a marked span: words before it, spans open, height of the stack, paragraphs open
+    wrappers: set[int] = set()
+    articles: list[tuple[int, ...]] = []
+    at = number = 0
+
+    def block() -> None:
+        cut = len(words) if span is None else span[0]
+        path, marks, inside = stack[-1]
+        for part, off in ((words[:cut], marks), (words[cut:], (*marks, -1))):
+            text = " ".join(html.unescape("".join(part)).split())
+            if text:
+                found.append((path, text, off, inside))
         words.clear()
-        if text:
-            yield (stack[-1][0], text, stack[-1][1], stack[-1][2])
+        if span is not None:
+            span[0] = 0
 
     for m in TOKEN.finditer(page):
         words.append(page[at : m.start()])
@@ -70,32 +88,57 @@ def walk(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         if name in INLINE:
             if name == "br":
                 words.append(" ")
+            elif name == "span" and span is not None:
+                span[1] += -1 if m[2] else 1
+                if not span[1]:
+                    del words[span[0] :]
+                    span = None
             elif name == "span" and not m[2] and "class" in m[4] and marked(m[4]):
-                stack.append((f"{stack[-1][0]}/span", True, stack[-1][2]))
-            elif name == "span" and m[2] and stack[-1][0].endswith("/span"):
-                words.clear()
-                stack.pop()
+                span = [len(words), 1, len(stack), 0]
+            continue
+        block()
+        if name in VOID:
             continue
-        yield from block()
-        if name in VOID or name in SELF_CLOSING:
+        if name in SELF_CLOSING:
+            if span is not None:
+                span[3] += -1 if m[2] else 1
+                span = None if span[3] < 0 else span
             continue
         if m[2]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0].rsplit("/", 1)[1].split(".")[0] == name:
                     del stack[k:]
                     break
+            if span is not None and len(stack) < span[2]:
+                span = None
             continue
-        path, off, inside = stack[-1]
-        off = off or name in FURNITURE or name == "header" and not inside or bool(m[4]) and name not in ("body", "html", *ARTICLE) and marked(m[4])
-        inside = inside or not off and (name in ARTICLE or 'role="main"' in m[4])
-        stack.append((f"{path}/{name}", off, inside))
-        yield (stack[-1][0], "", off, inside)
+        path, marks, inside = stack[-1]
+        if name in FURNITURE or name == "header" and not inside or bool(m[4]) and name not in ("body", "html", *ARTICLE) and marked(m[4]):
+            number += 1
+            marks = (*marks, number)
+            if name == "form" or name not in FURNITURE and name != "header":
+                wrappers.add(number)
+        if name in ARTICLE or 'role="main"' in m[4]:
+            inside = (*inside, marks)
+            articles.append(marks)
+        stack.append((f"{path}/{name}", marks if span is None else (*marks, -1), inside))
+        found.append((stack[-1][0], "", stack[-1][1], inside))
     words.append(page[at:])
-    yield from block()
+    block()
+    held: Counter[int] = Counter()
+    total = 0
+    for _, text, marks, _ in found:
+        if text and wrappers.issuperset(marks):
+            total += len(text)
+            held.update({k: len(text) for k in set(marks)})
+    sure = [marks for marks in articles if wrappers.issuperset(marks)]
+    return found, {k for k, n in held.items() if 2 * n > total and all(k in marks for marks in sure)}
 
 
 def marked(attributes: str) -> bool:
-    return any(not MARKS.isdisjoint(re.split(r"[^a-z]+", (a or b or c).lower())) for a, b, c in NAMES.findall(attributes))
+    """Whether a class, id or role is made of words that mark furniture only."""
+    names = (token for a, b, c in NAMES.findall(attributes) for token in (a or b or c).lower().split())
+    return any(MARKS.issuperset(words) for words in (re.findall(r"[a-z]+", name) for name in names) if words)
 
 
 def token_of(path: str, text: str) -> int:

@@ -23,3 +23,18 @@ def test_template_decides_where_articles_are_marked(spark):
     got = extracted(spark, [(i, f"http://h/{i}", page.format(i)) for i in range(4)] + [(9, "http://alone/9", "<body><article>Teaser</article><div>The long main text of this page</div></body>")])
     assert all(got[i] == f"Title {i}\n\nText {i}\n\nOther {i}" for i in range(4))
     assert got[9] == "Teaser\n\nThe long main text of this page"
+
+
+def text_of(page):
+    return "|".join(text for _, text, off, _ in pages_html.walk(page) if text and not off)
+
+
+def test_marks_take_no_text_beside_them():
+    assert text_of('<p>Real text <span class="share">x</span> more</p>') == "Real text more"
+    assert text_of('<p>Real <span class="ad">a <span>b</span> c</span> more</p>') == "Real more"
+    assert text_of('<p>Real <span class="ad">a</p><p>more</p>') == "Real|more"
+    assert text_of('<div>Real <span class="ad">a<p>b</p><p>c</p><div>d</div>e</span> more</div>') == "Real|more"
+    assert text_of('<div>Real <span class="ad">a</div><div>more</div>') == "Real|more"
+    assert text_of('<div class="layout with-sidebar"><p>Text</p><div class="sidebar">no</div></div>') == "Text"
+    assert text_of('<form><p>The text of the page</p><div class="social-share">no</div></form><nav>Menu with very many words that are longer than it</nav>') == "The text of the page"
+    assert text_of('<article>Short</article><div class="comments">Many long comments on it</div>') == "Short"
