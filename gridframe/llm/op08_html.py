@@ -164,11 +164,11 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): the tokens of each host's valid equivalence classes, at most two for each token of a mean page."""
-    distinct = pages.select("host", "html").mapInArrow(contents, "host string, tokens binary").distinct()
-    seen = distinct.mapInArrow(occurrences, "page long, host string, token long, n long")
+    packed = pages.select("host", "html").mapInArrow(contents, "host string, tokens binary")
+    seen = packed.distinct().mapInArrow(occurrences, "page long, host string, token long, n long")
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).cast("string")
     by_token = seen.groupBy("host", "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("on"))
-    sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    sizes = packed.select("host", F.xxhash64("tokens").alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     often = by_token.join(sizes, "host").where("2 * on >= pages")
     valid = often.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
     return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
