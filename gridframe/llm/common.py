@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +22,12 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (a local test session) is one made.
+    Only where the session names none and runs on this machine alone (in tests) is one made.
     """
     known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -31,7 +38,48 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     so that a lost executor costs one read, and fixes values made inside tasks."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, column: str = "text", rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``limit`` bytes in ``column``, at least one row and at most ``rows`` each."""
+    for b in batches:
+        offsets = np.frombuffer(b.column(column).buffers()[1], np.int32)[b.column(column).offset :][: b.num_rows + 1].astype(np.int64) if b.num_rows else np.zeros(1, np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def tidy(work: Callable, *given: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work(batches, *given)`` for mapInArrow; gives memory back when a task ends, as workers are used again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches, *given)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def id_remainder(column: Column, divisor: int) -> Column:

@@ -28,21 +28,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import materialize, text_rows
+from gridframe.llm.common import materialize, slices, text_rows, tidy
 
 CAPACITY, END_ID, ROUNDS = 4096, 1, 150
-#: Bounds of a worker's word cache: entries, and bytes of a word that is kept.
+#: Bounds of a task's word cache: entries, and bytes of a word that is kept.
 CACHE_WORDS, CACHE_BYTES = 600_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, rank long"
 
-_words: dict[str, WordIds] = {}
-
 
 class WordIds:
     """Little-endian ids of whole texts, put together from those of words.
 
     The vocabulary's pre-tokenizer never joins across white space, so a text's ids are
-    those of its words one after another; each distinct word is encoded once.
+    those of its words one after another; each distinct word is encoded once.  Many new
+    words are encoded as one text, with a bar between them, which is a token of its own.
     """
 
     def __init__(self, path: str):
@@ -51,56 +50,52 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        bar = self.encoded(["|"])[0]
+        self.bar = bar[0] if len(bar) == 1 and self.encoded(["a | b"])[0].tolist() == [*self.encoded(["a"])[0], *bar, *self.encoded(["b"])[0]] else None
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_of_words(self, words: list[bytes], joined: bool) -> list[bytes]:
+        own = self.encoded([b" | ".join(words).decode("utf-8", "replace")])[0] if self.bar is not None and joined else np.zeros(0, "<u4")
+        bars = np.flatnonzero(own == self.bar)
+        if not joined or len(bars) != len(words) - 1:
+            return [x.tobytes() for x in self.encoded([w.decode("utf-8", "replace") for w in words])]
+        data, ends = own.tobytes(), [*(4 * bars).tolist(), 4 * len(own)]
+        return [data[i:j] for i, j in zip([0, *[x + 4 for x in ends]], ends)]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.cache))
-        found = self.cache
+        split, found = [t.split() for t in texts], self.cache
+        new = set().union(*split).difference(found)
         if any(len(w) > CACHE_BYTES for w in new):
-            found = dict(self.cache)
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, encoded, strict=True):
-                packed = np.array(e.ids, "<u4").tobytes()
-                found[w] = packed
-                if found is not self.cache and len(w) <= CACHE_BYTES:
-                    self.cache[w] = packed
+            found = dict(found)
+        barred = [w for w in new if b"|" in w]
+        for words in (list(new.difference(barred)), barred):
+            for i in range(0, len(words), 2000):
+                part = words[i : i + 2000]
+                found.update(zip(part, self.ids_of_words(part, words is not barred), strict=True))
+        if found is not self.cache:
+            self.cache.update((w, found[w]) for w in new if len(w) <= CACHE_BYTES)
         return [b"".join(map(found.__getitem__, words)) for words in split]
 
 
-def in_parts(texts: list[bytes], limit: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive parts of about ``limit`` bytes, each with the position of its first text."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield at, texts[at:i]
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, texts[at:]
-
-
 def cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    words = _words.setdefault(path, None) or WordIds(path)
-    _words[path] = words
+    words = WordIds(path)
     end, seen, block = np.array([end_id], "<u4").tobytes(), Counter(), TaskContext.get().partitionId()
-    for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), [t or b"" for t in batch.column("text").to_pylist()]
-        for first, part in in_parts(texts, 4 << 20):
-            rows = []
-            for doc, packed in zip(ids[first:], words.ids(part), strict=False):
-                packed += end
-                for piece, at in enumerate(range(0, len(packed), 4 * capacity)):
-                    own = packed[at : at + 4 * capacity]
-                    n = len(own) // 4
-                    rows.append((doc, piece, at // 4, n, zlib.crc32(own), block, seen[n], *[own] * keep_ids))
-                    seen[n] += 1
-            names = [x.split()[0] for x in PIECES.split(",")] + ["ids"] * keep_ids
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * keep_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    names = [x.split()[0] for x in PIECES.split(",")] + ["ids"] * keep_ids
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * keep_ids
+    for batch in slices(batches, 2 << 20):
+        rows = []
+        for doc, packed in zip(batch.column("doc_id").to_pylist(), words.ids([t or b"" for t in batch.column("text").to_pylist()]), strict=True):
+            packed += end
+            for piece, at in enumerate(range(0, len(packed), 4 * capacity)):
+                own = packed[at : at + 4 * capacity]
+                n = len(own) // 4
+                rows.append((doc, piece, at // 4, n, zlib.crc32(own), block, seen[n], *[own] * keep_ids))
+                seen[n] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def best_filling(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> Counter:
@@ -184,7 +179,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CA
     The driver holds the length histogram and the fillings, both bounded by ``capacity``.
     """
     schema = PIECES + ", ids binary" * keep_ids
-    pieces = materialize(text_rows(documents).mapInArrow(lambda it: cut(it, tokenizer_path, capacity, end_id, keep_ids), schema), "pieces")
+    pieces = materialize(text_rows(documents).mapInArrow(tidy(cut, tokenizer_path, capacity, end_id, keep_ids), schema), "pieces")
     counts = pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     where = places(fillings(histogram, capacity, rounds))

@@ -1,128 +1,183 @@
 """N-gram Jaccard join by rare-first prefix filtering.
 
 A document's set holds its distinct runs of ``width`` words, as 64-bit hashes.  All sets
-are ordered by one order, rarest first: the order's key is the number of occurrences in
-the hash bucket of a shingle, counted over all documents.  Two sets can reach the
-threshold only if they share a shingle of their prefixes, their sizes are near enough
-(length filter), what follows the shared shingle is long enough (positional filter), and
-their parity bitmaps differ in few enough bits (the suffix filter: each differing bit
-needs an element outside the intersection).  What is left is verified on the whole sets.
+are ordered by one order, rarest first: the order's key is the number of documents' shingles
+in the hash bucket of a shingle, counted over all documents in buckets whose number grows
+with the input up to ``most_bits``.  Two sets can reach the threshold only if they share a
+shingle of their prefixes, their sizes are near enough (length filter), what follows the
+shared shingle is long enough (positional filter), and their parity bitmaps differ in few
+enough bits (the suffix filter: each differing bit needs an element outside the
+intersection).  What is left is verified on the whole sets, each pair once.  Shingles that
+stand alone in their bucket are in one document only and are joined with nothing; sets of
+so few shingles that no other set is near enough are linked with equal ones only.
 
 Documents with equal sets are one class from the start.  Classes that share prefix
-shingles are joined in rounds: the first ones hold each row of a bucket against its
-heaviest row (whose prefix lies in the fullest buckets, so the centre of a group of near
-copies) and against the next heavier one, and verify the two nearest by bitmap, which
-connects groups of near copies by few pairs; the last takes every remaining pair of a bucket whose members are not
-connected yet, so no link between components is lost.
+shingles are joined in rounds: the first ones hold each row of a bucket against the
+heaviest row of the bucket, later of its part of the bucket (heavy: the prefix lies in the
+fullest buckets, as that of the centre of a group of near copies does), and verify the two
+nearest by bitmap, which connects groups of near copies by few pairs.  Centres are maxima,
+so they are combined before the shuffle and no task holds a bucket.  The last round takes
+every remaining pair of a bucket whose members are not connected yet, within neighbouring
+bands of sizes, so no link between components is lost.
 
 A null text or one without words has an empty set, linked with nothing.  Repeated rows
-are copies; rows that share a doc_id are one node of the graph.
+are copies; rows that share a doc_id are one node of the graph.  Rows without a doc_id get
+the class of an equal set that has one, or null.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import LOWER, among, components, materialize, text_rows
+from gridframe.llm.common import LOWER, among, components, discard, materialize, slices, text_rows, tidy
 
 WIDTH, PERCENT, ROUNDS = 4, 85, 3
-SKETCH_BITS, BITMAP_BITS, CHUNK = 20, 512, 1 << 14
+#: Buckets of the order: two for each shingle, within these powers of two; one byte each.
+LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 25, 16
+BITMAP_BITS = 512
 BITMAP = [f"bits{k}" for k in range(BITMAP_BITS // 64)]
-_hashes: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > 500_000:
-        _hashes.clear()
-    out = list(map(_hashes.get, words))
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                out[i] = h = xxhash.xxh3_64_intdigest(words[i])
-                if len(words[i]) <= 48:
-                    _hashes[words[i]] = h
-    return np.array(out, np.uint64)
+SET = ["n", "key1", "key2"]
+MULTIPLIER = 0x9E3779B97F4A7C15
+SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
-
-
-def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted set of a document's shingles."""
-    words = word_hashes((text or b"").translate(LOWER).split())
-    if len(words) <= width:
-        h = np.zeros(min(1, len(words)), np.uint64)
-        for w in words:
-            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + w)
-        return h if len(words) == width else mixed(h + np.uint64(len(words)))
-    h = np.zeros(len(words) - width + 1, np.uint64)
-    for k in range(width):
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(h)])
-    return np.unique(h)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-def sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    counts, waiting, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
-    for b in batches:
-        for text in b.column("text").to_pylist():
-            waiting.append(shingles(text, width) >> np.uint64(64 - SKETCH_BITS))
-            size += len(waiting[-1])
-            if size > 1 << 20:
-                counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counts))
-                waiting, size = [], 0
-    if waiting:
-        counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counts))
-    chunks = range(len(counts) // CHUNK)
-    yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([counts[c * CHUNK : (c + 1) * CHUNK].astype(np.uint32).tobytes() for c in chunks], pa.binary())], ["chunk", "counts"])
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
-def add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for chunk, counts in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, np.uint32).astype(np.uint64)
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of the texts, and the text that it stands in."""
+    lengths = np.array([len(t or b"") + 1 for t in texts], np.int64)
+    data = np.frombuffer(b" ".join([t or b"" for t in texts]).translate(LOWER), np.uint8)
+    edges = np.flatnonzero(np.diff(~SPACE[data], prepend=False, append=False))
+    begin, end = edges[::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(MULTIPLIER, len(data)), out=sums[1:])
+    h = (sums[end] - sums[begin]) * powers(pow(MULTIPLIER, -1, 1 << 64), len(data))[begin]
+    return mixed(h + (end - begin).astype(np.uint64)), np.searchsorted(np.cumsum(lengths), begin, "right")
 
 
-def least_overlap(total: np.ndarray | int, percent: int) -> np.ndarray | int:
-    """The smallest intersection of two sets with ``total`` elements that reaches the threshold."""
-    return -(-percent * total // (100 + percent))
+def folded(words: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each run of ``width`` words that starts at one of ``first``."""
+    h = np.zeros(len(first), np.uint64)
+    for k in range(width):
+        h = mixed(h * np.uint64(MULTIPLIER) + words[first + k])
+    return h
+
+
+def shingles(texts: list[bytes | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of all texts, each text's set in order of value; whose they are; and the size of each set."""
+    words, of = hashed_words(texts)
+    first = np.arange(max(len(words) - width + 1, 0))
+    first = first[of[first] == of[first + width - 1]]
+    h, owner = [folded(words, first, width)], [of[first]]
+    many = np.bincount(of, minlength=len(texts))
+    start = np.cumsum(many) - many
+    for n in range(1, width):  # texts of fewer words: the whole sequence
+        short = np.flatnonzero(many == n)
+        h.append(mixed(folded(words, start[short], n) + np.uint64(n)))
+        owner.append(short)
+    h, owner = np.concatenate(h), np.concatenate(owner)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], owner[new], np.bincount(owner[new], minlength=len(texts))
+
+
+def sketch(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall into each bucket, as (chunk of buckets, places in it, counts)."""
+
+    def rows() -> pa.RecordBatch:
+        place, n = np.unique(np.concatenate(waiting), return_counts=True)
+        cuts = np.flatnonzero(np.diff(place >> CHUNK_BITS)) + 1
+        edges = [0, *cuts.tolist(), len(place)]
+        parts = [(int(place[i]) >> CHUNK_BITS, place[i:j].astype(np.uint16).tobytes(), np.minimum(n[i:j], 0xFFFF).astype(np.uint16).tobytes()) for i, j in zip(edges, edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), [pa.int32(), pa.binary(), pa.binary()], strict=True)], ["chunk", "places", "counts"])
+
+    waiting, size = [], 0
+    for b in slices(batches):
+        waiting.append((shingles(b.column("text").to_pylist(), width)[0] >> np.uint64(64 - bits)).astype(np.uint32))
+        size += len(waiting[-1])
+        if size > 1 << 21:
+            yield rows()
+            waiting, size = [], 0
+    if size:
+        yield rows()
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes: the first 128 exactly, then in steps of an eighth of a power of two."""
+    return (np.minimum(counts, 128) + np.minimum(np.floor(8 * np.log2(np.maximum(counts, 128) / 128)), 127)).astype(np.uint8)
 
 
-def profile(batches: Iterator[pa.RecordBatch], counts: np.ndarray, width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
     for b in batches:
-        sizes, keys, prefixes, bitmaps = [], [], [], []
-        for text in b.column("text").to_pylist():
-            own = shingles(text, width)
-            n = len(own)
-            sizes.append(n)
-            keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-            order = np.argsort(counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-            prefixes.append(own[order[: n - -(-percent * n // 100) + 1] if n else order].view(np.int64))
-            odd = np.bincount((own & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
-            bitmaps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-        offsets = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
-        prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-        words = np.array(bitmaps, np.int64).reshape(-1, len(BITMAP)).T
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), prefix, *map(pa.array, words)], ["doc_id", "n", "set_key", "prefix", *BITMAP])
+        for chunk, places, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            own = total.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64))
+            own[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint16)
+    for chunk, own in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([scaled(own).tobytes()], pa.binary())], ["chunk", "counts"])
+
+
+def rarity(source: DataFrame, width: int, most_bits: int) -> tuple[np.ndarray, int]:
+    """The counts of buckets, one byte each, and the bits of a hash that choose a bucket."""
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(max(math.ceil(math.log2(size / 3 + 1)), LEAST_BITS), most_bits)
+    chunks = source.select("text").mapInArrow(tidy(sketch, width, bits), "chunk int, places binary, counts binary")
+    counts = np.zeros(1 << bits, np.uint8)
+    for r in chunks.repartition("chunk").mapInArrow(tidy(add_chunks), "chunk int, counts binary").toLocalIterator():
+        counts[r["chunk"] << CHUNK_BITS :][: 1 << CHUNK_BITS] = np.frombuffer(r["counts"], np.uint8)
+    return counts, bits
+
+
+def linkable(n: Column | np.ndarray, percent: int) -> Column | np.ndarray:
+    """Whether a set of n elements can be near a different one, of one element more at least."""
+    return 100 * n >= percent * (n + 1)
+
+
+def profile(batches: Iterator[pa.RecordBatch], shared: object, bits: int, width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    counts = shared.value
+    for b in slices(batches):
+        h, owner, n = shingles(b.column("text").to_pylist(), width)
+        first = np.cumsum(n) - n
+        keys = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(x)))]) for x in (0, MULTIPLIER)]
+        often = counts[(h >> np.uint64(64 - bits)).astype(np.int64)]
+        order = np.lexsort((h, often, owner))
+        at = np.arange(len(h)) - first[owner]
+        keep = (at < (n - -(-percent * n // 100) + 1)[owner]) & linkable(n, percent)[owner] & (often[order] > 1)
+        offsets = pa.array(np.cumsum([0, *np.bincount(owner[keep], minlength=len(n))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (at[keep].astype(np.int32), h[order][keep].view(np.int64))]
+        odd = np.bincount(owner * BITMAP_BITS + (h & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=len(n) * BITMAP_BITS) & 1
+        words = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, len(BITMAP)).T
+        sums = [pa.array((k[first + n] - k[first]).view(np.int64)) for k in keys]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *sums, *lists, *(pa.array(np.ascontiguousarray(x)) for x in words)], ["doc_id", *SET, "at", "h", *BITMAP])
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(t, width).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "own"])
+    for b in slices(batches):
+        h, _, n = shingles(b.column("text").to_pylist(), width)
+        data, ends = h.tobytes(), (8 * np.cumsum(n)).tolist()
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([data[i:j] for i, j in zip([0, *ends], ends)], pa.binary())], ["doc_id", "own"])
 
 
 def verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, column="x"):
         keep = []
         for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -131,96 +186,108 @@ def verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def join_links(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links among candidate ``pairs(a, b)``, by their whole sets.
-
-    Only documents in a pair get their sets made; a bitmap of fixed size tells which, so
-    no text is shuffled."""
-    near = materialize(pairs, "candidates")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    own = among(text_rows(documents), wanted).where("hit").select("doc_id", "text").mapInArrow(lambda it: sets_of(it, width), "doc_id long, own binary")
-    sets = materialize(own, "sets").dropDuplicates(["doc_id", "own"])
-    rows = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return rows.mapInArrow(lambda it: verified(it, percent), "a long, b long")
+def links_among(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among ``pairs(a, b)``, a table, by whole sets; a bitmap of fixed size tells which sets are shuffled."""
+    own = among(sets, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).where("hit").select("doc_id", "own")
+    rows = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+    return rows.mapInArrow(tidy(verified, percent), "a long, b long")
 
 
 def needed(na: Column, nb: Column, percent: int) -> Column:
+    """The smallest intersection of two sets of these sizes that reaches the threshold."""
     return F.ceil(percent * (na + nb) / (100 + percent))
 
 
-def apart(x: str, y: str) -> Column:
-    """In how many bits the parity bitmaps of two rows differ."""
-    return sum((F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) for c in BITMAP), F.lit(0))
-
-
 def fits(na: Column, nb: Column, i: Column, j: Column, percent: int) -> Column:
     """Length and positional filters, for the first shingle that two prefixes share."""
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - i, nb - j) >= needed(na, nb, percent))
 
 
-def candidate(percent: int) -> Column:
-    """Whether the rows x and y of a bucket, not connected yet, pass all filters."""
-    na, nb = F.col("nx"), F.col("ny")
-    suffix = na + nb - apart("x", "y") >= 2 * needed(na, nb, percent)
-    return (F.col("componentx") != F.col("componenty")) & fits(na, nb, F.col("ix"), F.col("iy"), percent) & suffix
+def paired(x: str, y: str, nx: str, ny: str) -> list[Column]:
+    """The rows x and y as a pair, the smaller id first, and which of the two y is."""
+    a, b = F.col(x), F.col(y)
+    return [b.alias("row"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(a < b, F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(a < b, F.col(ny)).otherwise(F.col(nx)).alias("nb")]
 
 
-def unconnected(live: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The rows of buckets that hold more than one component."""
+def suffix_filtered(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, row, apart) of the pairs whose bitmaps differ in few enough bits."""
+    a, b = (bitmaps.select(F.col("d").alias(x), *[F.col(c).alias(c + x) for c in BITMAP]) for x in "ab")
+    apart = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in BITMAP), F.lit(0))
+    near = pairs.distinct().join(a, "a").join(b, "b").withColumn("apart", apart)
+    return near.where(F.col("na") + F.col("nb") - F.col("apart") >= 2 * needed(F.col("na"), F.col("nb"), percent)).groupBy("a", "b", "row").agg(F.min("apart").alias("apart"))
+
+
+def with_components(live: DataFrame, found: DataFrame | None) -> DataFrame:
     known = live.withColumn("component", F.lit(None).cast("long")) if found is None else live.join(found.withColumnRenamed("node", "d"), "d", "left")
-    placed = known.withColumn("component", F.coalesce("component", "d"))
-    bucket = Window.partitionBy("h")
-    ends = placed.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket)})
-    return ends.where("low < high").drop("low", "high")
+    return known.withColumn("component", F.coalesce("component", "d"))
+
+
+def around_centres(known: DataFrame, parts: int, seed: int, percent: int) -> DataFrame:
+    """Each row of a bucket (or of one of ``parts`` of it) beside the heaviest one, if they aren't connected yet."""
+    dealt = known.withColumn("part", F.pmod(F.xxhash64("d", F.lit(seed)), F.lit(parts)))
+    row = F.struct("weight", "d", "n", "i", "component")
+    ends = dealt.groupBy("h", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(row).alias("c")).where("low < high")
+    beside = dealt.join(ends.select("h", "part", "c"), ["h", "part"]).where(F.col("c.component") != F.col("component"))
+    return beside.where(fits(F.col("c.n"), F.col("n"), F.col("c.i"), F.col("i"), percent)).withColumns({"dx": F.col("c.d"), "nx": F.col("c.n")}).select(*paired("dx", "d", "nx", "n"))
 
 
-def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The components after more links."""
-    return components(links if found is None else links.unionByName(found.toDF("a", "b")), "components")
+def all_pairs_left(known: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a bucket's rows that aren't connected, the larger set in the same band of sizes or the next one."""
+    ends = known.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    several = materialize(known.join(ends.select("h"), "h").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))), "several")
+    x = several.select(F.col("h"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), *[F.col(c).alias(c + "x") for c in ("d", "n", "i", "component")])
+    y = several.select("h", "band", *[F.col(c).alias(c + "y") for c in ("d", "n", "i", "component")])
+    once = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("dx") < F.col("dy"))
+    rest = x.join(y, ["h", "band"]).where(once & (F.col("componentx") != F.col("componenty")) & fits(F.col("nx"), F.col("ny"), F.col("ix"), F.col("iy"), percent))
+    return rest.select(*paired("dx", "dy", "nx", "ny"))
 
 
-def near_groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def near_groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row.
 
-    ``rounds`` bounds the rounds that link neighbours; the last round takes whatever is left.
+    ``rounds`` bounds the rounds that link centres; the last round takes whatever is left.
+    ``most_bits`` bounds the buckets of the order (one byte each, sent to all tasks).
     """
-    spark = documents.sparkSession
     source = text_rows(documents)
-    chunks = source.select("text").mapInArrow(lambda it: sketch(it, width), "chunk int, counts binary")
-    added = chunks.repartition("chunk").mapInArrow(add_chunks, "chunk int, counts binary").collect()
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for r in added:
-        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint32)
-    shared = spark.sparkContext.broadcast(counts)
-    schema = "doc_id long, n long, set_key binary, prefix array<long>, " + ", ".join(f"{c} long" for c in BITMAP)
-    profiles = materialize(source.mapInArrow(lambda it: profile(it, shared.value, width, percent), schema), "profiles")
-    members = profiles.groupBy("set_key").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    heads = profiles.where("n > 0").join(members.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
-    heads = materialize(heads, "heads")
-    rows = heads.select("n", F.col("doc_id").alias("d"), F.posexplode("prefix").alias("i", "h"))
-    live = materialize(rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("k > 1"), "live")
-
-    weights = live.groupBy("d").agg(F.sum("k").alias("weight"))
-    live = materialize(live.drop("k").join(weights, "d").join(heads.select(F.col("doc_id").alias("d"), *BITMAP), "d"), "placed")
-    columns, bucket, found = ["d", "n", "i", "component", *BITMAP], Window.partitionBy("h"), None
-    for _ in range(rounds):
-        several = unconnected(live, found)
-        row, by_weight = F.struct(*columns), bucket.orderBy(F.desc("weight"), "d")
-        beside = several.withColumns({"centre": F.first(row).over(by_weight), "next": F.lag(row).over(by_weight)})
-        beside = beside.withColumn("other", F.explode(F.array("centre", "next"))).where("other is not null")
-        beside = beside.select(*[F.col(f"other.{c}").alias(c + "x") for c in columns], *[F.col(c).alias(c + "y") for c in columns]).where(candidate(percent))
-        nearest = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))
-        best = beside.select(F.col("dx").alias("a"), F.col("dy").alias("b"), apart("x", "y").alias("apart")).distinct().withColumn("at", nearest).where("at <= 2")
-        new = materialize(join_links(best.select("a", "b"), documents, width, percent), "links")
-        if new.isEmpty():
-            break
-        found = joined(found, new)
-    several = materialize(unconnected(live, found), "several")
-    x, y = (several.select(F.col("h").alias("h" + s), *[F.col(c).alias(c + s) for c in columns]) for s in "xy")
-    rest = x.join(y, (F.col("hx") == F.col("hy")) & (F.col("dx") < F.col("dy")) & candidate(percent))
-    more = join_links(rest.select(F.col("dx").alias("a"), F.col("dy").alias("b")).distinct(), documents, width, percent)
-    found = joined(found, more)
-
-    groups = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class"))
-    out = profiles.select("doc_id", "n", "set_key").join(groups, "set_key", "left")
+    counts, bits = rarity(source, width, most_bits)
+    shared = documents.sparkSession.sparkContext.broadcast(counts)
+    schema = "doc_id long, n long, key1 long, key2 long, at array<int>, h array<long>, " + ", ".join(f"{c} long" for c in BITMAP)
+    profiles = materialize(source.mapInArrow(tidy(profile, shared, bits, width, percent), schema), "profiles")
+    shared.unpersist()
+    members = profiles.where("n > 0").groupBy(*SET).agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    heads = profiles.where(linkable(F.col("n"), percent) & (F.size("h") > 0)).join(members.withColumnRenamed("rep", "doc_id"), [*SET, "doc_id"], "left_semi")
+    heads = materialize(heads.dropDuplicates([*SET, "doc_id"]).withColumnRenamed("doc_id", "d"), "heads")
+    rows = heads.select("d", "n", F.explode(F.arrays_zip("at", "h")).alias("e")).select("d", "n", F.col("e.at").alias("i"), F.col("e.h").alias("h"))
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared_rows = materialize(rows.join(often, "h"), "shared")
+    weights = shared_rows.groupBy("d").agg(F.sum("k").alias("weight"))
+    live = materialize(shared_rows.drop("k").join(weights, "d"), "live")
+    own = among(source, live.select(F.col("d").alias("doc_id"))).where("hit").select("doc_id", "text").mapInArrow(tidy(sets_of, width), "doc_id long, own binary")
+    sets = materialize(own.dropDuplicates(), "sets")
+    discard(shared_rows)
+
+    found = tested = None
+    for k in range(rounds + 1):
+        known = with_components(live, found)
+        new = around_centres(known, 4**k, k, percent) if k < rounds else all_pairs_left(known, percent)
+        if tested is not None:
+            new = new.join(tested, ["a", "b"], "left_anti")
+        near = suffix_filtered(new, heads, percent)
+        if k < rounds:
+            nearest = Window.partitionBy("row").orderBy("apart", "a", "b")
+            near = near.withColumn("place", F.row_number().over(nearest)).where("place <= 2")
+        pairs = materialize(near.select("a", "b").distinct(), "candidates")
+        links = materialize(links_among(pairs, sets, percent), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if k < rounds and links.isEmpty():
+            continue
+        found = components(links if found is None else links.unionByName(found.toDF("a", "b")), "components")
+    discard(live, sets)
+
+    both = profiles.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*SET)).alias("least"), F.max(F.struct(*SET)).alias("most")).where("least <> most").select("doc_id")
+    shared_ids = materialize(profiles.join(both, "doc_id", "left_semi").where("n > 0").join(members, SET).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "ids")
+    if not shared_ids.isEmpty():
+        found = components(found.toDF("a", "b").unionByName(shared_ids), "components")
+    classes = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*SET, F.coalesce("component", "rep").alias("class"))
+    out = profiles.select("doc_id", *SET).join(classes, SET, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("component_id"))
