@@ -22,7 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import LOWER, id_remainder, materialize, text_rows
+from gridframe.llm.common import LOWER, id_remainder, materialize, slices, text_rows, tidy
 
-HEAD, SINGLES, CLASSES, WIDTH, CONTEXT, NOISE, BATCH = 50_000, 128, 256, 16, 3, 24, 2048
+HEAD, SINGLES, CLASSES, WIDTH, CONTEXT, NOISE, BATCH = 50_000, 384, 512, 16, 3, 24, 2048
 START_ROWS, RATE = 600, 0.15
 END = b""
 
@@ -51,10 +51,10 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
     held = Counter()
-    for b in batches:
+    for b in slices(batches):
         for text in b.column("text").to_pylist():
             held.update(tokens(text))
-            if len(held) > 400_000:
+            if len(held) > 250_000:
                 yield out(held)
                 held = Counter()
     yield out(held)
@@ -69,31 +69,41 @@ class Vocabulary:
         self.of = np.array([i if i < SINGLES else shared_class(w) for i, w in enumerate(words)], np.int64)
         self.classes, self.kinds = classes, kinds
 
-    def encode(self, texts: list[bytes | None]) -> tuple[list[list[int]], list[bytes]]:
-        """Indices of each text's tokens; those beyond the head count through the words returned."""
-        rest: dict[bytes, int] = {}
-        known, size, out = self.index, len(self.index), []
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Indices of all tokens, the number of each text's tokens, and the words that indices beyond the head stand for."""
+        index, flat, lengths = Growing(self.index), [], []
         for t in texts:
             words = tokens(t)
-            ids = list(map(known.get, words))
-            if None in ids:
-                for i, k in enumerate(ids):
-                    if k is None:
-                        ids[i] = rest.setdefault(words[i], size + len(rest))
-            out.append(ids)
-        return out, list(rest)
-
-    def class_rows(self, ids: list[list[int]], rest: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            lengths.append(len(words))
+            flat.extend(map(index.__getitem__, words))
+        return np.array(flat, np.int64), np.array(lengths, np.int64), list(islice(index, len(self.index), None))
+
+    def class_rows(self, flat: np.ndarray, lengths: np.ndarray, rest: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Classes of all texts one after another, each after a pad of ends; where the tokens stand."""
         of = np.concatenate([self.of, np.array([shared_class(w) for w in rest], np.int64)])
         end = self.of[self.index[END]] if END in self.index else 0
-        lengths = np.array([len(x) for x in ids])
-        row, first = np.full(int(lengths.sum()) + CONTEXT * len(ids), end), np.cumsum(lengths) - lengths
-        at = np.arange(int(lengths.sum())) + CONTEXT * (np.repeat(np.arange(len(ids)), lengths) + 1)
-        row[at] = of[np.concatenate([np.array(x, np.int64) for x in ids])]
+        row = np.full(len(flat) + CONTEXT * len(lengths), end)
+        at = np.arange(len(flat)) + CONTEXT * (np.repeat(np.arange(len(lengths)), lengths) + 1)
+        row[at] = of[flat]
         return row, at
 
 
+class Growing(dict):
+    """Gives a word that it doesn't hold the next number."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row to the one of ``total`` that ``at`` names."""
+    order = at.astype(np.uint16).argsort(kind="stable")
+    own = at[order]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    total[own[first]] += np.add.reduceat(rows[order], first)
+
+
 class Model:
     """Parameters: context vectors R, place weights C, class vectors T and biases b."""
 
@@ -127,13 +137,13 @@ class Model:
         gz = 1 / (1 + np.exp(-(q @ self.T[z].T + self.b[z] - base[z])))
         dq = gy[:, None] * self.T[y] + gz @ self.T[z]
         dT, db, dR = np.zeros_like(self.T), np.zeros_like(self.b), np.zeros_like(self.R)
-        np.add.at(dT, y, gy[:, None] * q)
-        np.add.at(dT, z, gz.T @ q)
+        add_rows(dT, y, gy[:, None] * q)
+        add_rows(dT, z, gz.T @ q)
         db += np.bincount(y, gy, CLASSES) + np.bincount(z, gz.sum(0), CLASSES)
         dC = np.zeros_like(self.C)
         for k in range(CONTEXT):
             c = row[at - k - 1]
-            np.add.at(dR, c, dq * self.C[k])
+            add_rows(dR, c, dq * self.C[k])
             dC[k] = (dq * self.R[c]).sum(0)
         for p, g, s in zip((self.R, self.T, self.C, self.b), (dR, dT, dC, db), self.G, strict=True):
             s += g * g
@@ -148,30 +158,28 @@ class Model:
     def log_probabilities(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of the classes that stand at ``at``."""
         out = np.zeros(len(at), np.float64)
-        for i in range(0, len(at), 4096):
-            own = at[i : i + 4096]
-            logits = self.query(row, own) @ self.T.T + self.b
-            top = logits.max(1)
-            out[i : i + 4096] = logits[np.arange(len(own)), row[own]] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        for i in range(0, len(at), 1024):
+            own = at[i : i + 1024]
+            logits = self.query(row, own) @ self.T.T
+            logits += self.b
+            logits -= logits.max(1)[:, None]
+            chosen = logits[np.arange(len(own)), row[own]]
+            np.exp(logits, out=logits)
+            out[i : i + 1024] = chosen - np.log(logits.sum(1))
         return out
 
 
-def parts(b: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for at in range(0, b.num_rows, rows):
-        yield b.slice(at, rows)
-
-
-def train_share(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, flat: np.ndarray | None, passes: int = 1) -> Iterator[pa.RecordBatch]:
+def train_share(batches: Iterator[pa.RecordBatch], shared: object, flat: np.ndarray | None, passes: int = 1) -> Iterator[pa.RecordBatch]:
+    vocabulary = shared.value
     model, seen = Model(vocabulary.classes), 0
     if flat is not None:
         model.unpack(flat)
     rng = np.random.default_rng(7)
-    for b in batches:
-        for p in parts(b):
-            row, at = vocabulary.class_rows(*vocabulary.encode(p.column("text").to_pylist()))
-            for _ in range(passes):
-                model.train(row, at, rng)
-            seen += len(at)
+    for p in slices(batches, rows=256):
+        row, at = vocabulary.class_rows(*vocabulary.encode(p.column("text").to_pylist()))
+        for _ in range(passes):
+            model.train(row, at, rng)
+        seen += len(at)
     if seen:
         salt = TaskContext.get().partitionId() % 64
         yield pa.RecordBatch.from_arrays([pa.array([salt], pa.int32()), pa.array([seen], pa.int64()), pa.array([(model.pack() * seen).tobytes()], pa.binary())], ["salt", "n", "total"])
@@ -190,33 +198,31 @@ SHARE = "salt int, n long, total binary"
 
 
 def average(shares: DataFrame) -> np.ndarray | None:
-    rows = shares.repartition(16, "salt").mapInArrow(add_shares, SHARE).collect()
+    rows = shares.repartition(16, "salt").mapInArrow(tidy(add_shares), SHARE).collect()
     return sum(np.frombuffer(r["total"]) for r in rows) / sum(r["n"] for r in rows) if rows else None
 
 
-def score_rows(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, flat: np.ndarray, kept: list[str]) -> Iterator[pa.RecordBatch]:
+def score_rows(batches: Iterator[pa.RecordBatch], shared: object, kept: list[str]) -> Iterator[pa.RecordBatch]:
     """What is known of each document without the counts of its rare words, and those words."""
+    vocabulary, flat = shared.value
     model, block, at_row = Model(vocabulary.classes).unpack(flat), TaskContext.get().partitionId(), 0
     in_class = np.log10(vocabulary.classes + vocabulary.kinds + 1)
     logs, size = np.log10(vocabulary.counts + 1), len(vocabulary.counts)
-    for b in batches:
-        for p in parts(b):
-            ids, rest = vocabulary.encode(p.column("text").to_pylist())
-            row, at = vocabulary.class_rows(ids, rest)
-            flat_ids, lengths = np.concatenate([np.array(x, np.int64) for x in ids]), np.array([len(x) for x in ids])
-            first, head = np.cumsum(lengths) - lengths, flat_ids < size
-            count_logs = np.where(head, logs[np.minimum(flat_ids, size - 1)] if size else 0.0, 0.0)
-            own = flat_ids >= min(SINGLES, size)  # tokens that share their class
-            score = model.log_probabilities(row, at) / np.log(10) + np.where(own, count_logs - in_class[row[at]], 0)
-            words = []
-            for x, n in zip(ids, np.add.reduceat(~head, first).tolist(), strict=True):
-                found = Counter(k for k in x if k >= size) if n else {}
-                words.append([{"word": rest[k - size], "times": n} for k, n in found.items()])
-            sums = [np.add.reduceat(x, first) for x in (head.astype(np.int64), count_logs, score)]
-            rows = pa.array(words, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
-            key = pa.array(np.arange(at_row, at_row + p.num_rows) + (block << 40))
-            at_row += p.num_rows
-            yield pa.RecordBatch.from_arrays([key, *map(p.column, kept), pa.array(lengths), *map(pa.array, sums), rows], ["row", *kept, "n_tokens", "known", "count_logs", "class_score", "rest"])
+    for p in slices(batches, rows=256):
+        flat_ids, lengths, rest = vocabulary.encode(p.column("text").to_pylist())
+        row, at = vocabulary.class_rows(flat_ids, lengths, rest)
+        first, head = np.cumsum(lengths) - lengths, flat_ids < size
+        count_logs = np.where(head, logs[np.minimum(flat_ids, size - 1)] if size else 0.0, 0.0)
+        own = flat_ids >= min(SINGLES, size)  # tokens that share their class
+        score = model.log_probabilities(row, at) / np.log(10) + np.where(own, count_logs - in_class[row[at]], 0)
+        place, times = np.unique((np.repeat(np.arange(len(lengths)), lengths) << 40 | flat_ids)[~head], return_counts=True)
+        word = pa.array(rest, pa.binary()).take(pa.array((place & (1 << 40) - 1) - size))
+        offsets = np.cumsum([0, *np.bincount(place >> 40, minlength=len(lengths))])
+        rows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([word, pa.array(times, pa.int64())], ["word", "times"]))
+        sums = [np.add.reduceat(x, first) for x in (head.astype(np.int64), count_logs, score)]
+        key = pa.array(np.arange(at_row, at_row + p.num_rows) + (block << 40))
+        at_row += p.num_rows
+        yield pa.RecordBatch.from_arrays([key, *map(p.column, kept), pa.array(lengths), *map(pa.array, sums), rows], ["row", *kept, "n_tokens", "known", "count_logs", "class_score", "rest"])
 
 
 def most_frequent(counts: DataFrame, head: int) -> list[tuple[bytes, int]]:
@@ -239,7 +245,7 @@ def fit(training: DataFrame, head: int = HEAD, start_rows: int = START_ROWS) ->
     """Token counts (a table), the vocabulary, the parameters, N and V of ``training(doc_id, text)``."""
     spark = training.sparkSession
     training = text_rows(training)
-    counts = materialize(training.mapInArrow(count_tokens, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "tokens")
+    counts = materialize(training.mapInArrow(tidy(count_tokens), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "tokens")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = most_frequent(counts, head)
     singles = spark.sparkContext.broadcast({w: i for i, (w, _) in enumerate(top[:SINGLES])})
@@ -255,14 +261,14 @@ def fit(training: DataFrame, head: int = HEAD, start_rows: int = START_ROWS) ->
             np.add.at(kinds, of, 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total), pa.array(kinds)], ["k", "n", "kinds"])
 
-    rows = counts.mapInArrow(by_class, "k long, n long, kinds long").groupBy("k").agg(F.sum("n"), F.sum("kinds")).orderBy("k").collect()
+    rows = counts.mapInArrow(tidy(by_class), "k long, n long, kinds long").groupBy("k").agg(F.sum("n"), F.sum("kinds")).orderBy("k").collect()
     classes, kinds = (np.array([r[i] for r in rows] or [0] * CLASSES, np.int64) for i in (1, 2))
     vocabulary = Vocabulary([w for w, _ in top], [k for _, k in top], classes, kinds)
     shared = spark.sparkContext.broadcast(vocabulary)
     documents = training.count()
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(1 << 30)) < F.lit(int(min(1.0, start_rows / max(documents, 1)) * (1 << 30)))
-    start = average(training.where(drawn).coalesce(1).mapInArrow(lambda it: train_share(it, shared.value, None, 3), SHARE))
-    flat = average(training.mapInArrow(lambda it: train_share(it, shared.value, start), SHARE))
+    start = average(training.where(drawn).repartition(1).mapInArrow(tidy(train_share, shared, None, 3), SHARE))
+    flat = average(training.mapInArrow(tidy(train_share, shared, start), SHARE))
     return counts, vocabulary, Model(classes).pack() if flat is None else flat, n, v
 
 
@@ -274,7 +280,7 @@ def score(documents: DataFrame, fitted: tuple, *keep: str) -> DataFrame:
     kept = ["doc_id", *keep]
     types = {f.name: f.dataType.simpleString() for f in source.schema}
     schema = "row long, " + ", ".join(f"`{c}` {types[c]}" for c in kept) + ", n_tokens long, known long, count_logs double, class_score double, rest array<struct<word:binary,times:long>>"
-    rows = materialize(source.mapInArrow(lambda it: score_rows(it, *shared.value, kept), schema), "scored")
+    rows = materialize(source.mapInArrow(tidy(score_rows, shared, kept), schema), "scored")
     rare = rows.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times").join(counts, "word")
     more = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
     known, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import materialize, text_rows
+from gridframe.llm.common import materialize, slices, text_rows, tidy
 
 WIDTH, SHARE, BLOCK_WORDS = 13, 20, 200_000
 #: Bytes that are no part of a word become spaces; A-Z become a-z.
@@ -38,7 +38,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 def frequencies(batches: Iterator[pa.RecordBatch], wanted: frozenset[bytes]) -> Iterator[pa.RecordBatch]:
     total = Counter()
-    for b in batches:
+    for b in slices(batches):
         for text in b.column("text").to_pylist():
             total.update(filter(wanted.__contains__, words_of(text)))
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
@@ -55,9 +55,10 @@ def file_windows(items: list[tuple[str, list[bytes]]], often: dict[bytes, int],
     return {w: {k: dict(v) for k, v in by.items()} for w, by in filed.items()}
 
 
-def scan(batches: Iterator[pa.RecordBatch], filed: dict, first: bool, kept: list[str]) -> Iterator[pa.RecordBatch]:
+def scan(batches: Iterator[pa.RecordBatch], shared: object, first: bool, kept: list[str]) -> Iterator[pa.RecordBatch]:
     """Adds this block's hit words (runs of start and end) and items to each document."""
-    for b in batches:
+    filed = shared.value
+    for b in slices(batches):
         counts, runs, found = [], [], []
         before = zip(b.column("runs").to_pylist(), b.column("items").to_pylist(), strict=True) if not first else None
         for text in b.column("text").to_pylist():
@@ -103,14 +104,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     for block in range(blocks):
         held = [(r["item_id"], w) for r in sized.where(F.col("block") == block).collect() if (w := words_of(r["text"]))]
         wanted = frozenset(w for _, words in held for w in words)
-        counted = text_rows(documents).mapInArrow(lambda it, wanted=wanted: frequencies(it, wanted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = text_rows(documents).mapInArrow(tidy(frequencies, wanted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         often = {bytes(r["word"]): r["n"] for r in counted.collect()}
         shared = spark.sparkContext.broadcast(file_windows(held, often, width))
         if block:
             out = materialize(out, "decontamination")
         kept = [c for c in kept_types if c != "text" or block < blocks - 1]
         schema = ", ".join(f"`{c}` {kept_types[c]}" for c in kept) + ", n_words long, runs array<struct<start:int,end:int>>, items array<string>"
-        out = out.mapInArrow(lambda it, shared=shared, first=not block, kept=kept: scan(it, shared.value, first, kept), schema)
+        out = out.mapInArrow(tidy(scan, shared, not block, kept), schema)
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     out = out.withColumnsRenamed({f"kept_{c}": c for c in keep})
     return out.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import id_remainder, text_rows
+from gridframe.llm.common import id_remainder, slices, text_rows, tidy
 
 ORDER, SAMPLE_ROWS = 3, 1000
 UNKNOWN = "und"
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
-LETTER = re.compile(r"[^\W\d_]")
+CACHE_WORDS, CACHE_BYTES = 250_000, 48
+LETTER = re.compile(r"[a-z]")
 
 
 def grams_of(word: bytes, order: int = ORDER) -> np.ndarray:
@@ -49,8 +49,13 @@ def lowered(text: bytes | None) -> str:
     return (text or b"").decode("utf-8", "replace").lower()
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode category L)."""
+    return bool(LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         by: dict[str, Counter] = {}
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             by.setdefault(lang, Counter()).update(lowered(text).encode().split())
@@ -133,23 +138,23 @@ class Model:
         return out
 
 
-def predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column("text").to_pylist()
+def predict(batches: Iterator[pa.RecordBatch], shared: object) -> Iterator[pa.RecordBatch]:
+    model = shared.value
+    for b in slices(batches):
+        texts = [lowered(t) for t in b.column("text").to_pylist()]
         names, scores = [], []
-        for first in range(0, len(texts), 500):
-            part = [lowered(t) for t in texts[first : first + 500]]
-            lengths = model.lengths(part) if model.languages else np.zeros((len(part), 0))
-            for text, own in zip(part, lengths, strict=True):
-                if not len(own) or not LETTER.search(text):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                else:
-                    best = int(own.argmin())
-                    names.append(model.languages[best])
-                    scores.append(float(1 / np.exp2(np.maximum(own[best] - own, -1000)).sum()))
+        lengths = model.lengths(texts) if model.languages else np.zeros((len(texts), 0))
+        for text, own in zip(texts, lengths, strict=True):
+            if not len(own) or not has_letter(text):
+                names.append(UNKNOWN)
+                scores.append(0.0)
+            else:
+                best = int(own.argmin())
+                names.append(model.languages[best])
+                scores.append(float(1 / np.exp2(np.maximum(own[best] - own, -1000)).sum()))
         kept = [c for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+    model.forget()  # workers outlive their tasks
 
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -163,7 +168,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     for lang, n in sorted(rows.items()):
         share = F.when(F.col("lang") == lang, min(1.0, sample_rows / n)).otherwise(share)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < share * (1 << 30)
-    counted = labelled.where(drawn).select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long")
+    counted = labelled.where(drawn).select("lang", "text").mapInArrow(tidy(count_grams), "lang string, gram long, n long")
     got = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Model({lang: ContextTree(own["gram"].to_numpy(np.uint32), own["n"].to_numpy(float)) for lang, own in got.groupby("lang")})
 
@@ -173,7 +178,7 @@ def identify(documents: DataFrame, model: Model, *keep: str) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = text_rows(documents, *[F.col(c).alias(f"kept_{c}") for c in keep])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    found = rows.mapInArrow(lambda it: predict(it, shared.value), schema + ", lang_pred string, score double")
+    found = rows.mapInArrow(tidy(predict, shared), schema + ", lang_pred string, score double")
     return found.withColumnsRenamed({f"kept_{c}": c for c in keep})
 
 

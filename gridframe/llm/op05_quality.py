@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import text_rows
+from gridframe.llm.common import slices, text_rows, tidy
 
 SAMPLE_ROWS, HASHED, EPOCHS, ITERATIONS = 3000, 1 << 14, 8, 60
 #: (measure, bad from here, good up to here): a labeller votes by one measure and is silent between.
@@ -75,7 +75,7 @@ def features(text: str, values: list[float]) -> tuple[list[int], list[float]]:
 
 
 def label_rows(batches: Iterator[pa.RecordBatch], with_features: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         texts = [(t or b"").decode("utf-8", "replace") for t in b.column("text").to_pylist()]
         found = [measures(t) for t in texts]
         out = [pa.array([votes(v) for v in found], pa.string())]
@@ -99,8 +99,9 @@ def fit(rows: list, labels: dict[str, float], epochs: int = EPOCHS) -> np.ndarra
     return weights
 
 
-def score_rows(batches: Iterator[pa.RecordBatch], weights: np.ndarray, labels: dict[str, float]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+def score_rows(batches: Iterator[pa.RecordBatch], shared: object) -> Iterator[pa.RecordBatch]:
+    weights, labels = shared.value
+    for b in slices(batches):
         own, weak, scores = [], [], []
         for text in b.column("text").to_pylist():
             text = (text or b"").decode("utf-8", "replace")
@@ -116,11 +117,11 @@ def classify(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, votes, weak_label (posterior of good), score and good (score of a half or more)."""
     source = text_rows(documents)
     spark = documents.sparkSession
-    voted = source.mapInArrow(lambda it: label_rows(it, False), "votes string")
+    voted = source.mapInArrow(tidy(label_rows, False), "votes string")
     patterns = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = estimate(patterns) if patterns else {}
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < int(min(1.0, sample_rows / max(sum(patterns.values()), 1)) * (1 << 30))
-    sampled = source.where(drawn).mapInArrow(lambda it: label_rows(it, True), "votes string, at array<int>, value array<double>").collect()
+    sampled = source.where(drawn).mapInArrow(tidy(label_rows, True), "votes string, at array<int>, value array<double>").collect()
     shared = spark.sparkContext.broadcast((fit(sampled, labels), labels))
-    scored = source.mapInArrow(lambda it: score_rows(it, *shared.value), "doc_id long, votes string, weak_label double, score double")
+    scored = source.mapInArrow(tidy(score_rows, shared), "doc_id long, votes string, weak_label double, score double")
     return scored.withColumn("good", F.col("score") >= 0.5)

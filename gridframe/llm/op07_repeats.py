@@ -4,18 +4,22 @@ A byte goes if a string of ``width`` bytes over it also starts earlier.  Order i
 to that depth only, so the cover is taken for it: positions whose remainder lies in a
 difference cover are the sample.  For any two positions there is a shift below the modulus
 that takes both into the sample, so equal strings hold equal sample prefixes of
-width - modulus + 1 bytes at the same place.  Sample prefixes are sorted and named in
-blocks dealt by hash (each name is compared once over all documents); a prefix met once
-rules out the positions that it serves.  The positions left are merged: each string is
-sent, with those beside it, to the block of its least 32-byte prefix, sorted there, and
-compared with its neighbours; whoever isn't the first of its equals is covered.
+width - modulus + 1 bytes at the same place.  Sample prefixes are named (by a hash of 60
+bits), the names sorted in blocks, and neighbours compared; a prefix met once rules out the
+positions that it serves.  The suffixes left are merged: each is sent, with those beside it,
+to the block of its least 32-byte prefix, ordered there by its ``width`` bytes (a hash of
+128 bits first), and compared with its neighbours byte by byte; whoever isn't the first of
+its equals is covered.
 
 Depth 100 needs one level of names; a recursion would only deepen them.  Texts are not
-shuffled unless they hold a repeated prefix.  Copies within a batch meet before the
-shuffle, so a string that a third of all documents hold reaches its block once a batch.
+shuffled unless they hold a repeated prefix.  Equal prefixes and equal strings within a
+batch meet before the shuffle, so what a third of all documents hold reaches its block once
+a batch.  Runs of positions with equal least prefixes stay one string, so periodic texts
+(a long line of dashes) take no more room than others.
 
 Null texts are empty.  Rows that share a doc_id should share the text: neither is earlier
-than the other.  Rows without a doc_id are kept whole and match nothing.
+than the other.  Rows without a doc_id are kept whole and match nothing.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,31 +27,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import among, materialize, text_rows
+from gridframe.llm.common import among, discard, give_back, materialize, slices, text_rows, tidy
 
 WIDTH, ANCHOR = 100, 32
 #: A perfect difference cover: every remainder is a difference of two of these (fixed values).
 MODULUS, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Positions that are looked at together, below 2**24.
 CHUNK = 1 << 22
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    held = _powers.get((base, 0), np.zeros(0, np.uint64))
-    if len(held) < n:
-        size = 1 << int(n).bit_length()
-        with np.errstate(over="ignore"):
-            held = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)]))
-        _powers[base, 0] = held
-    return held[:n]
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 def rolling(data: np.ndarray, width: int, base: int = MULTIPLIERS[0]) -> np.ndarray:
@@ -62,18 +60,6 @@ def rolling(data: np.ndarray, width: int, base: int = MULTIPLIERS[0]) -> np.ndar
     return h ^ (h >> np.uint64(29))
 
 
-def groups_of(b: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
-    ids, texts = b.column("doc_id").to_pylist(), [t or b"" for t in b.column("text").to_pylist()]
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield ids[at:i], texts[at:i]
-            at, size = i, 0
-        size += len(t)
-    if texts:
-        yield ids[at:], texts[at:]
-
-
 def spread(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts in one array; for each string of ``width`` bytes in one text its start there and its text."""
     data, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
@@ -85,55 +71,59 @@ def spread(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def sample(batches: Iterator[pa.RecordBatch], blocks: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Names of sample prefixes as (block, names, doc_ids, their numbers, starts), one row a block;
+    block -1 holds places whose prefix is met again within the rows at hand."""
     prefix = width - MODULUS + 1
     residues = np.zeros(MODULUS, bool)
     residues[list(COVER)] = True
+    for b in slices(batches):
+        texts = [t or b"" for t in b.column("text").to_pylist()]
+        docs = b.column("doc_id").to_numpy()
+        data, place, of = spread(texts, prefix)
+        if not len(place):
+            continue
+        start = place - (np.cumsum([0] + [len(t) for t in texts[:-1]]))[of]
+        own = residues[start % MODULUS]
+        h, of, start = rolling(data, prefix)[place[own]] >> np.uint64(4), of[own], start[own]
+        order = np.argsort(h, kind="stable")
+        h, of, start = h[order], of[order], start[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        again = ~new
+        again[:-1] |= ~new[1:]
+        block = np.concatenate([np.full(int(again.sum()), -1), (h[new] % np.uint64(blocks)).astype(np.int64)])
+        h, of, start = (np.concatenate([x[again], x[new]]) for x in (h, of, start))
+        order = np.argsort(block, kind="stable")
+        h, of, start, block = h[order] // np.uint64(blocks), of[order], start[order], block[order]
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(h)]
+        rows = []
+        for at, end in zip(edges, edges[1:]):
+            used, local = np.unique(of[at:end], return_inverse=True)
+            rows.append((int(block[at]), h[at:end].tobytes() if block[at] >= 0 else b"", docs[used].tobytes(), local.astype("<u4").tobytes(), start[at:end].astype("<u4").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], ["block", "names", "docs", "of", "start"])
+
+
+def unpacked(docs: list[bytes], of: list[bytes], start: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.frombuffer(d, np.int64)[np.frombuffer(o, "<u4")] for d, o in zip(docs, of, strict=True)]), np.concatenate([np.frombuffer(s, "<u4") for s in start]).astype(np.int64)
+
+
+def met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for ids, texts in groups_of(b):
-            data, place, of = spread(texts, prefix)
-            if not len(place):
-                continue
-            start = place - (np.cumsum([0] + [len(t) for t in texts[:-1]]))[of]
-            own = residues[start % MODULUS]
-            h, of, start = rolling(data, prefix)[place[own]], of[own], start[own]
-            block = (h % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            h, of, start, block = h[order] // np.uint64(blocks), of[order], start[order], block[order]
-            cuts = np.flatnonzero(np.diff(block)) + 1
-            names = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6])
-            docs, at = np.array([-1 if i is None else i for i in ids], np.int64), 0
-            rows = []
-            for end in [*cuts.tolist(), len(h)]:
-                used, local = np.unique(of[at:end], return_inverse=True)
-                rows.append((int(block[at]), names[at:end].tobytes(), docs[used].tobytes(), local.astype("<u4").tobytes(), start[at:end].astype("<u4").tobytes()))
-                at = end
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], ["block", "names", "docs", "of", "start"])
-
-
-def repeated(rows: pd.DataFrame) -> pd.DataFrame:
-    """The sample positions of a block whose prefix is met more than once."""
-    names = np.frombuffer(b"".join(rows["names"]), np.uint8).reshape(-1, 6)
-    h = np.zeros((len(names), 8), np.uint8)
-    h[:, :6] = names
-    h = h.view(np.uint64)[:, 0]
-    docs = np.concatenate([np.frombuffer(d, np.int64)[np.frombuffer(o, "<u4")] for d, o in zip(rows["docs"], rows["of"], strict=True)])
-    start = np.concatenate([np.frombuffer(s, "<u4") for s in rows["start"]])
+        for row in zip(*(b.column(c).to_pylist() for c in ("docs", "of", "start")), strict=True):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, unpacked(*([x] for x in row)))], ["doc_id", "start"])
+
+
+def repeated(rows: pa.Table) -> pa.Table:
+    """The sample positions of a block whose prefix is met more than once: names are sorted, neighbours compared."""
+    h = np.frombuffer(b"".join(rows.column("names").to_pylist()), np.uint64)
+    docs, start = unpacked(*(rows.column(c).to_pylist() for c in ("docs", "of", "start")))
     order = np.argsort(h)
     same = h[order][1:] == h[order][:-1]
     keep = np.zeros(len(h), bool)
     keep[order[1:]] |= same
     keep[order[:-1]] |= same
-    return pd.DataFrame({"doc_id": docs[keep], "start": start[keep].astype(np.int64)})
-
-
-def slices(b: pa.RecordBatch, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of about ``limit`` bytes of text."""
-    sizes = np.cumsum([0, *[len(t.as_buffer() or b"") if t.is_valid else 0 for t in b.column("text")]])
-    at = 0
-    while at < b.num_rows:
-        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + limit, "right")) - 1)
-        yield b.slice(at, end - at)
-        at = end
+    give_back()
+    return pa.table({"doc_id": docs[keep], "start": start[keep]})
 
 
 def least_places(h: np.ndarray, width: int) -> np.ndarray:
@@ -150,7 +140,7 @@ def contexts(batches: Iterator[pa.RecordBatch], blocks: int, width: int) -> Iter
     """Runs of candidate strings that share their least prefix, as (block, doc_id, start, bytes);
     block -1: a run that also starts earlier within the rows at hand."""
     lead = width - ANCHOR + 1
-    for b in (part for whole in batches for part in slices(whole)):
+    for b in slices(batches, 2 << 20):
         first: dict[bytes, tuple[int, int, int]] = {}
         rows: list[tuple[int, int, int, bytes]] = []
         for doc, text, starts in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("starts"), strict=True):
@@ -165,11 +155,11 @@ def contexts(batches: Iterator[pa.RecordBatch], blocks: int, width: int) -> Iter
             if not len(own):
                 continue
             h = rolling(np.frombuffer(text, np.uint8), ANCHOR)
-            least = np.concatenate([i + least_places(h[i : i + CHUNK + lead - 1], lead) for i in range(0, n, CHUNK)])[own]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1, [len(own)]])
+            least = h[np.concatenate([i + least_places(h[i : i + CHUNK + lead - 1], lead) for i in range(0, n, CHUNK)])[own]]
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(own) != 1) | (least[1:] != least[:-1])) + 1, [len(own)]])
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 s, e = int(own[i]), int(own[j - 1]) + width
-                part, block = text[s:e], int(h[least[i]] % np.uint64(blocks))
+                part, block = text[s:e], int(least[i] % np.uint64(blocks))
                 met = first.get(part)
                 if met is None:
                     first[part] = (doc, s, block)
@@ -184,28 +174,48 @@ def contexts(batches: Iterator[pa.RecordBatch], blocks: int, width: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["block", "doc_id", "start", "part"])
 
 
-def covered(rows: pd.DataFrame, width: int) -> pd.DataFrame:
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Whether the strings of ``width`` bytes at a and at b are equal."""
+    out = np.ones(len(a), bool)
+    for k in range(width):
+        out &= data[a + k] == data[b + k]
+    return out
+
+
+def covered(rows: pa.Table, width: int) -> pa.Table:
     """Runs of bytes under strings of this block that also start earlier."""
-    parts = rows["part"].tolist()
+    parts = rows.column("part").to_pylist()
     data, place, of = spread(parts, width)
     begin = np.cumsum([0] + [len(p) for p in parts[:-1]])
-    doc, start = rows["doc_id"].to_numpy()[of], rows["start"].to_numpy()[of] + place - begin[of]
-    h, check = (rolling(data, width, m)[place] for m in MULTIPLIERS)
+    del parts
+    doc, start = rows.column("doc_id").to_numpy()[of], rows.column("start").to_numpy()[of] + place - begin[of]
+    h = rolling(data, width)[place]
+    order = np.argsort(h, kind="stable")  # strings met once need no further look
+    many = np.zeros(len(h), bool)
+    many[1:] = h[order][1:] == h[order][:-1]
+    many[:-1] |= many[1:]
+    order = order[many]
+    h, place, doc, start = h[order], place[order], doc[order], start[order]
+    check = rolling(data, width, MULTIPLIERS[1])[place]
     order = np.lexsort((start, doc, check, h))
-    h, check, doc, start = h[order], check[order], doc[order], start[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    h, check, place, doc, start = h[order], check[order], place[order], doc[order], start[order]
+    same = np.zeros(len(h), bool)
+    same[1:] = (h[1:] == h[:-1]) & (check[1:] == check[:-1])
+    beside = np.flatnonzero(same)
+    same[beside] = same_bytes(data, place[beside], place[beside - 1], width)
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
     later = (doc != doc[head]) | (start != start[head])
-    out = np.unique(np.stack([doc[later], start[later]], 1), axis=0)
-    if not len(out):
-        return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "end": np.zeros(0, np.int64)})
+    out = np.unique(np.stack([doc[later], start[later]], 1), axis=0) if later.any() else np.zeros((0, 2), np.int64)
     cut = np.flatnonzero((np.diff(out[:, 0]) != 0) | (np.diff(out[:, 1]) != 1))
-    a, z = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(out) - 1]])
-    return pd.DataFrame({"doc_id": out[a, 0], "start": out[a, 1], "end": out[z, 1] + width})
+    a, z = (np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(out) - 1]])) if len(out) else (cut, cut)
+    found = pa.table({"doc_id": out[a, 0], "start": out[a, 1], "end": out[z, 1] + width})
+    del data, h, check, place, doc, start, head, later, out, order, many
+    give_back()
+    return found
 
 
 def cut_out(batches: Iterator[pa.RecordBatch], kept_columns: list[str]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, 2 << 20):
         spans, kept = [], []
         for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
             text, merged = text or b"", []
@@ -226,22 +236,28 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, keep: tuple[str, ..
     source = text_rows(documents)
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + int(size * len(COVER) / MODULUS * 16 / BLOCK_BYTES)
-    prefixes = source.where("doc_id is not null").mapInArrow(lambda it: sample(it, blocks, width), "block int, names binary, docs binary, of binary, start binary")
-    marks = materialize(prefixes.groupBy("block").applyInPandas(repeated, "doc_id long, start long"), "repeated")
+    prefixes = source.where("doc_id is not null").mapInArrow(tidy(sample, blocks, width), "block int, names binary, docs binary, of binary, start binary")
+    names = materialize(prefixes, "names")
+    again = names.where("block = -1").select("docs", "of", "start").mapInArrow(tidy(met_again), "doc_id long, start long")
+    across = names.where("block >= 0").groupBy("block").applyInArrow(repeated, "doc_id long, start long")
+    marks = materialize(across.unionByName(again), "repeated")
+    discard(names)
     marked = among(documents.select("doc_id", F.col("text").cast("binary").alias("text"), *keep), marks)
     texts = materialize(marked.where("hit and doc_id is not null and text is not null").drop("hit"), "texts")
     starts = marks.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    runs = texts.join(starts, "doc_id").mapInArrow(lambda it: contexts(it, blocks, width), "block int, doc_id long, start long, part binary")
+    runs = texts.join(starts, "doc_id").mapInArrow(tidy(contexts, blocks, width), "block int, doc_id long, start long, part binary")
     runs = materialize(runs, "runs")
+    discard(marks)
     inside = runs.where("block = -1").select("doc_id", "start", (F.col("start") + F.octet_length("part")).alias("end"))
-    across = runs.where("block >= 0").groupBy("block").applyInPandas(lambda rows: covered(rows.drop(columns="block"), width), "doc_id long, start long, end long")
-    gone = inside.unionByName(across).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    across = runs.where("block >= 0").groupBy("block").applyInArrow(lambda rows: covered(rows, width), "doc_id long, start long, end long")
+    gone = materialize(inside.unionByName(across).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "gone")
+    discard(runs)
     empty = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
     rows = texts.join(gone, "doc_id", "left").select("doc_id", "text", *keep, "runs")
     rest = marked.where("not hit or doc_id is null or text is null").select("doc_id", "text", *keep, empty.alias("runs"))
     kept = ["doc_id", "text", *keep]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "runs")
-    return rows.unionByName(rest).mapInArrow(lambda it: cut_out(it, kept), types + ", spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return rows.unionByName(rest).mapInArrow(tidy(cut_out, kept), types + ", spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def digest(found: DataFrame) -> DataFrame:

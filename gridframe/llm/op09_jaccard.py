@@ -277,12 +277,15 @@ def near_groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT
             nearest = Window.partitionBy("row").orderBy("apart", "a", "b")
             near = near.withColumn("place", F.row_number().over(nearest)).where("place <= 2")
         pairs = materialize(near.select("a", "b").distinct(), "candidates")
-        links = materialize(links_among(pairs, sets, percent), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if k < rounds and links.isEmpty():
+        if pairs.isEmpty():
             continue
-        found = components(links if found is None else links.unionByName(found.toDF("a", "b")), "components")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = materialize(links_among(pairs, sets, percent), "links")
+        if not links.isEmpty():
+            found = components(links if found is None else links.unionByName(found.toDF("a", "b")), "components")
     discard(live, sets)
+    if found is None:
+        found = members.where("false").select(F.col("rep").alias("node"), F.col("rep").alias("component"))
 
     both = profiles.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*SET)).alias("least"), F.max(F.struct(*SET)).alias("most")).where("least <> most").select("doc_id")
     shared_ids = materialize(profiles.join(both, "doc_id", "left_semi").where("n > 0").join(members, SET).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "ids")
