@@ -4,8 +4,8 @@ A byte goes if a string of ``width`` bytes over it also starts earlier.  Order i
 to that depth only, so the cover is taken for it: positions whose remainder lies in a
 difference cover are the sample.  For any two positions there is a shift below the modulus
 that takes both into the sample, so equal strings hold equal sample prefixes of
-width - modulus + 1 bytes at the same place.  Sample prefixes are named (by a hash of 60
-bits), the names sorted in blocks, and neighbours compared; a prefix met once rules out the
+width - modulus + 1 bytes at the same place.  Sample prefixes are named (by 48 bits of a hash
+beside the block), the names sorted in blocks, and neighbours compared; a prefix met once rules out the
 positions that it serves.  The suffixes left are merged: each is sent, with those beside it,
 to the block of its least 32-byte prefix, ordered there by its ``width`` bytes (a hash of
 128 bits first), and compared with its neighbours byte by byte; whoever isn't the first of
@@ -72,11 +72,11 @@ def spread(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def sample(batches: Iterator[pa.RecordBatch], blocks: int, width: int) -> Iterator[pa.RecordBatch]:
     """Names of sample prefixes as (block, names, doc_ids, their numbers, starts), one row a block;
-    block -1 holds places whose prefix is met again within the rows at hand."""
+    blocks below 0 hold places whose prefix is met again within the rows at hand, without names."""
     prefix = width - MODULUS + 1
     residues = np.zeros(MODULUS, bool)
     residues[list(COVER)] = True
-    for b in slices(batches):
+    for turn, b in enumerate(slices(batches)):
         texts = [t or b"" for t in b.column("text").to_pylist()]
         docs = b.column("doc_id").to_numpy()
         data, place, of = spread(texts, prefix)
@@ -84,46 +84,43 @@ def sample(batches: Iterator[pa.RecordBatch], blocks: int, width: int) -> Iterat
             continue
         start = place - (np.cumsum([0] + [len(t) for t in texts[:-1]]))[of]
         own = residues[start % MODULUS]
-        h, of, start = rolling(data, prefix)[place[own]] >> np.uint64(4), of[own], start[own]
+        h, of, start = rolling(data, prefix)[place[own]], of[own], start[own]
         order = np.argsort(h, kind="stable")
-        h, of, start = h[order], of[order], start[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        again = ~new
-        again[:-1] |= ~new[1:]
-        block = np.concatenate([np.full(int(again.sum()), -1), (h[new] % np.uint64(blocks)).astype(np.int64)])
+        new, again = np.ones(len(h), bool), np.zeros(len(h), bool)
+        new[order[1:]] = h[order[1:]] != h[order[:-1]]
+        again[order[1:]] = ~new[order[1:]]
+        again[order[:-1]] |= ~new[order[1:]]
+        block = np.concatenate([np.full(int(again.sum()), -1 - turn % blocks), (h[new] % np.uint64(blocks)).astype(np.int64)])
         h, of, start = (np.concatenate([x[again], x[new]]) for x in (h, of, start))
         order = np.argsort(block, kind="stable")
         h, of, start, block = h[order] // np.uint64(blocks), of[order], start[order], block[order]
+        names = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6])
         edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(h)]
         rows = []
         for at, end in zip(edges, edges[1:]):
             used, local = np.unique(of[at:end], return_inverse=True)
-            rows.append((int(block[at]), h[at:end].tobytes() if block[at] >= 0 else b"", docs[used].tobytes(), local.astype("<u4").tobytes(), start[at:end].astype("<u4").tobytes()))
+            rows.append((int(block[at]), names[at:end].tobytes() if block[at] >= 0 else b"", docs[used].tobytes(), local.astype("<u2").tobytes(), start[at:end].astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], ["block", "names", "docs", "of", "start"])
 
 
-def unpacked(docs: list[bytes], of: list[bytes], start: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([np.frombuffer(d, np.int64)[np.frombuffer(o, "<u4")] for d, o in zip(docs, of, strict=True)]), np.concatenate([np.frombuffer(s, "<u4") for s in start]).astype(np.int64)
-
-
-def met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("docs", "of", "start")), strict=True):
-            yield pa.RecordBatch.from_arrays([*map(pa.array, unpacked(*([x] for x in row)))], ["doc_id", "start"])
-
-
 def repeated(rows: pa.Table) -> pa.Table:
     """The sample positions of a block whose prefix is met more than once: names are sorted, neighbours compared."""
-    h = np.frombuffer(b"".join(rows.column("names").to_pylist()), np.uint64)
-    docs, start = unpacked(*(rows.column(c).to_pylist() for c in ("docs", "of", "start")))
-    order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
-    keep = np.zeros(len(h), bool)
-    keep[order[1:]] |= same
-    keep[order[:-1]] |= same
+    columns = [rows.column(c).to_pylist() for c in ("docs", "of", "start")]
+    docs = np.concatenate([np.frombuffer(d, np.int64)[np.frombuffer(o, "<u2")] for d, o in zip(*columns[:2], strict=True)])
+    start = np.concatenate([np.frombuffer(x, "<u4") for x in columns[2]])
+    if rows.column("block")[0].as_py() >= 0:
+        names = np.frombuffer(b"".join(rows.column("names").to_pylist()), np.uint8).reshape(-1, 6)
+        h = np.zeros((len(names), 8), np.uint8)
+        h[:, :6] = names
+        h = h.view(np.uint64)[:, 0]
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        keep = np.zeros(len(h), bool)
+        keep[order[1:]] |= same
+        keep[order[:-1]] |= same
+        docs, start = docs[keep], start[keep]
     give_back()
-    return pa.table({"doc_id": docs[keep], "start": start[keep]})
+    return pa.table({"doc_id": docs, "start": start.astype(np.int64)})
 
 
 def least_places(h: np.ndarray, width: int) -> np.ndarray:
@@ -237,11 +234,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, keep: tuple[str, ..
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + int(size * len(COVER) / MODULUS * 16 / BLOCK_BYTES)
     prefixes = source.where("doc_id is not null").mapInArrow(tidy(sample, blocks, width), "block int, names binary, docs binary, of binary, start binary")
-    names = materialize(prefixes, "names")
-    again = names.where("block = -1").select("docs", "of", "start").mapInArrow(tidy(met_again), "doc_id long, start long")
-    across = names.where("block >= 0").groupBy("block").applyInArrow(repeated, "doc_id long, start long")
-    marks = materialize(across.unionByName(again), "repeated")
-    discard(names)
+    marks = materialize(prefixes.groupBy("block").applyInArrow(repeated, "doc_id long, start long"), "repeated")
     marked = among(documents.select("doc_id", F.col("text").cast("binary").alias("text"), *keep), marks)
     texts = materialize(marked.where("hit and doc_id is not null and text is not null").drop("hit"), "texts")
     starts = marks.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))

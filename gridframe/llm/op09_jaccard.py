@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from gridframe.llm.common import LOWER, among, components, discard, materialize, slices, text_rows, tidy
 
 WIDTH, PERCENT, ROUNDS = 4, 85, 3
-#: Buckets of the order: two for each shingle, within these powers of two; one byte each.
-LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 25, 16
+#: Buckets of the order: about one for each shingle, within these powers of two; half a byte each.
+LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 26, 16
 BITMAP_BITS = 512
 BITMAP = [f"bits{k}" for k in range(BITMAP_BITS // 64)]
 SET = ["n", "key1", "key2"]
@@ -121,28 +121,33 @@ def sketch(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
-    """Counts as bytes: the first 128 exactly, then in steps of an eighth of a power of two."""
-    return (np.minimum(counts, 128) + np.minimum(np.floor(8 * np.log2(np.maximum(counts, 128) / 128)), 127)).astype(np.uint8)
+    """Counts as half bytes, two in a byte: up to 8 exactly, then by powers of two."""
+    own = (np.minimum(counts, 8) + np.minimum(np.floor(np.log2(np.maximum(counts, 8) / 8)), 7)).astype(np.uint8)
+    return own[::2] | own[1::2] << 4
+
+
+def rarities(packed: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    return packed[buckets >> 1] >> (4 * (buckets & 1)).astype(np.uint8) & 15
 
 
 def add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for chunk, places, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            own = total.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64))
+            own = total.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int32))
             own[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint16)
     for chunk, own in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([scaled(own).tobytes()], pa.binary())], ["chunk", "counts"])
 
 
 def rarity(source: DataFrame, width: int, most_bits: int) -> tuple[np.ndarray, int]:
-    """The counts of buckets, one byte each, and the bits of a hash that choose a bucket."""
+    """The counts of buckets, half a byte each, and the bits of a hash that choose a bucket."""
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(max(math.ceil(math.log2(size / 3 + 1)), LEAST_BITS), most_bits)
+    bits = min(max(math.ceil(math.log2(size / 8 + 1)), LEAST_BITS), most_bits)
     chunks = source.select("text").mapInArrow(tidy(sketch, width, bits), "chunk int, places binary, counts binary")
-    counts = np.zeros(1 << bits, np.uint8)
+    counts = np.zeros(1 << bits - 1, np.uint8)
     for r in chunks.repartition("chunk").mapInArrow(tidy(add_chunks), "chunk int, counts binary").toLocalIterator():
-        counts[r["chunk"] << CHUNK_BITS :][: 1 << CHUNK_BITS] = np.frombuffer(r["counts"], np.uint8)
+        counts[r["chunk"] << CHUNK_BITS - 1 :][: 1 << CHUNK_BITS - 1] = np.frombuffer(r["counts"], np.uint8)
     return counts, bits
 
 
@@ -157,7 +162,7 @@ def profile(batches: Iterator[pa.RecordBatch], shared: object, bits: int, width:
         h, owner, n = shingles(b.column("text").to_pylist(), width)
         first = np.cumsum(n) - n
         keys = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(x)))]) for x in (0, MULTIPLIER)]
-        often = counts[(h >> np.uint64(64 - bits)).astype(np.int64)]
+        often = rarities(counts, (h >> np.uint64(64 - bits)).astype(np.int64))
         order = np.lexsort((h, often, owner))
         at = np.arange(len(h)) - first[owner]
         keep = (at < (n - -(-percent * n // 100) + 1)[owner]) & linkable(n, percent)[owner] & (often[order] > 1)
@@ -186,11 +191,16 @@ def verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def links_among(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among ``pairs(a, b)``, a table, by whole sets; a bitmap of fixed size tells which sets are shuffled."""
-    own = among(sets, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).where("hit").select("doc_id", "own")
-    rows = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
-    return rows.mapInArrow(tidy(verified, percent), "a long, b long")
+def links_among(pairs: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links among ``pairs(a, b)``, a table, by whole sets.
+
+    Only documents in a pair get their sets made; a bitmap of fixed size tells which, so no text is shuffled."""
+    wanted = among(source, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).where("hit").select("doc_id", "text")
+    sets = materialize(wanted.mapInArrow(tidy(sets_of, width), "doc_id long, own binary"), "sets")
+    rows = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    links = materialize(rows.mapInArrow(tidy(verified, percent), "a long, b long").distinct(), "links")
+    discard(sets)
+    return links
 
 
 def needed(na: Column, nb: Column, percent: int) -> Column:
@@ -246,7 +256,7 @@ def near_groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row.
 
     ``rounds`` bounds the rounds that link centres; the last round takes whatever is left.
-    ``most_bits`` bounds the buckets of the order (one byte each, sent to all tasks).
+    ``most_bits`` bounds the buckets of the order (half a byte each, sent to all tasks).
     """
     source = text_rows(documents)
     counts, bits = rarity(source, width, most_bits)
@@ -262,8 +272,6 @@ def near_groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT
     shared_rows = materialize(rows.join(often, "h"), "shared")
     weights = shared_rows.groupBy("d").agg(F.sum("k").alias("weight"))
     live = materialize(shared_rows.drop("k").join(weights, "d"), "live")
-    own = among(source, live.select(F.col("d").alias("doc_id"))).where("hit").select("doc_id", "text").mapInArrow(tidy(sets_of, width), "doc_id long, own binary")
-    sets = materialize(own.dropDuplicates(), "sets")
     discard(shared_rows)
 
     found = tested = None
@@ -280,10 +288,10 @@ def near_groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = materialize(links_among(pairs, sets, percent), "links")
+        links = links_among(pairs, source, width, percent)
         if not links.isEmpty():
             found = components(links if found is None else links.unionByName(found.toDF("a", "b")), "components")
-    discard(live, sets)
+    discard(live)
     if found is None:
         found = members.where("false").select(F.col("rep").alias("node"), F.col("rep").alias("component"))
 
