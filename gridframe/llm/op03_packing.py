@@ -33,6 +33,10 @@ from gridframe.llm.common import materialize, slices, text_rows, tidy
 CAPACITY, END_ID, ROUNDS = 4096, 1, 150
 #: Bounds of a task's word cache: entries, and bytes of a word that is kept.
 CACHE_WORDS, CACHE_BYTES = 600_000, 64
+#: ASCII signs that may end a word (fixed values); the apostrophe may begin a contraction.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: How byte-level vocabularies write bytes: printable Latin-1 signs as they are, the others from 256 on.
+BYTE_SIGNS = dict(zip([b for b in range(256) if b != 32 and not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], [256 + k for k in range(69) if k != 32]))
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, rank long"
 
 
@@ -42,45 +46,84 @@ class WordIds:
     The vocabulary's pre-tokenizer never joins across white space, so a text's ids are
     those of its words one after another; each distinct word is encoded once.  Many new
     words are encoded as one text, with a bar between them, which is a token of its own.
+    A word of Latin letters, maybe with signs after it, is small letters for one token and
+    the signs for another: its letters go to the vocabulary's merges without its text rules.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.cache: dict[bytes, bytes] = {}
-        bar = self.encoded(["|"])[0]
-        self.bar = bar[0] if len(bar) == 1 and self.encoded(["a | b"])[0].tolist() == [*self.encoded(["a"])[0], *bar, *self.encoded(["b"])[0]] else None
-
-    def encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids_of_words(self, words: list[bytes], joined: bool) -> list[bytes]:
-        own = self.encoded([b" | ".join(words).decode("utf-8", "replace")])[0] if self.bar is not None and joined else np.zeros(0, "<u4")
+        self.stems: dict[bytes, bytes] = {}
+        bar = encoded(self.tokenizer, ["|"])[0]
+        probe = ["a", "house", "\u00e4rger", "the\u00f1o"]
+        whole = [x.tolist() for x in encoded(self.tokenizer, ["a | b", "a", "b", "Probe,;", "probe", ",;"])]
+        self.bar = bar[0] if len(bar) == 1 and whole[0] == [*whole[1], *bar, *whole[2]] else None
+        self.letters_alone = False
+        if self.bar is not None and whole[3] == [*whole[4], *whole[5]]:
+            self.letters_alone = [x.tobytes() for x in encoded(self.tokenizer, probe)] == self.of_stems([x.encode() for x in probe])
+
+    def between_bars(self, tokenizer: object, text: str, n: int) -> list[bytes] | None:
+        own = encoded(tokenizer, [text])[0]
         bars = np.flatnonzero(own == self.bar)
-        if not joined or len(bars) != len(words) - 1:
-            return [x.tobytes() for x in self.encoded([w.decode("utf-8", "replace") for w in words])]
+        if len(bars) != n - 1:
+            return None
         data, ends = own.tobytes(), [*(4 * bars).tolist(), 4 * len(own)]
         return [data[i:j] for i, j in zip([0, *[x + 4 for x in ends]], ends)]
 
+    def of_stems(self, stems: list[bytes]) -> list[bytes] | None:
+        text = b" | ".join(stems)
+        return self.between_bars(self.merges, text.decode("latin-1") if text.isascii() else text.decode("latin-1").translate(BYTE_SIGNS), len(stems))
+
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        joined = None if self.bar is None or any(b"|" in w for w in words) else self.between_bars(self.tokenizer, b" | ".join(words).decode("utf-8", "replace"), len(words))
+        return joined or [x.tobytes() for x in encoded(self.tokenizer, [w.decode("utf-8", "replace") for w in words])]
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) + len(self.stems) > CACHE_WORDS:
             self.cache.clear()
+            self.stems.clear()
         split, found = [t.split() for t in texts], self.cache
         new = set().union(*split).difference(found)
         if any(len(w) > CACHE_BYTES for w in new):
             found = dict(found)
-        barred = [w for w in new if b"|" in w]
-        for words in (list(new.difference(barred)), barred):
-            for i in range(0, len(words), 2000):
-                part = words[i : i + 2000]
-                found.update(zip(part, self.ids_of_words(part, words is not barred), strict=True))
+        parts = {w: p for w in new if (p := letters_and_signs(w))} if self.letters_alone else {}
+        whole = [*new.difference(parts), *{signs for _, signs in parts.values()}.difference(found, [b""])]
+        whole.sort(key=lambda w: b"|" in w)
+        for i in range(0, len(whole), 2000):
+            found.update(zip(whole[i : i + 2000], self.of_words(whole[i : i + 2000]), strict=True))
+        stems = sorted({stem for stem, _ in parts.values()}.difference(self.stems), key=bytes.isascii)
+        for i in range(0, len(stems), 2000):
+            self.stems.update(zip(stems[i : i + 2000], self.of_stems(stems[i : i + 2000]), strict=True))
+        for w, (stem, signs) in parts.items():
+            found[w] = self.stems[stem] + found[signs] if signs else self.stems[stem]
         if found is not self.cache:
             self.cache.update((w, found[w]) for w in new if len(w) <= CACHE_BYTES)
         return [b"".join(map(found.__getitem__, words)) for words in split]
 
 
+def encoded(tokenizer: object, texts: list[str]) -> list[np.ndarray]:
+    return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def letters_and_signs(word: bytes) -> tuple[bytes, bytes] | None:
+    """The small letters of a word and the signs after them; nothing for other words."""
+    stem = word.rstrip(SIGNS)
+    if len(stem) > CACHE_BYTES:
+        return None
+    if stem.isalpha():  # ASCII letters
+        return stem.lower(), word[len(stem) :]
+    text = stem.decode("utf-8", "replace")
+    small = text.lower()
+    if not text.isalpha() or max(text) >= "\u0250" or len(small) != len(text):
+        return None
+    return small.encode(), word[len(stem) :]
+
+
 def cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     words = WordIds(path)
     end, seen, block = np.array([end_id], "<u4").tobytes(), Counter(), TaskContext.get().partitionId()
