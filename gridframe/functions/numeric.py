@@ -15,11 +15,24 @@ def invert_no_zero(x: Column, single: bool = False) -> Column:
 
 
 def invert_no_zero_complex(z: Column) -> Column:
-    """Reciprocal of struct(re, im); 0 where both parts are too small."""
+    """Reciprocal of struct(re, im), scaled by the larger part; 0 where both parts are too small."""
     re, im = z["re"], z["im"]
-    size = re * re + im * im
-    tiny = (F.abs(re) < F.lit(LEAST_DOUBLE)) & (F.abs(im) < F.lit(LEAST_DOUBLE))
-    return F.struct(F.when(tiny, 0.0).otherwise(re / size).alias("re"), F.when(tiny, 0.0).otherwise(-im / size).alias("im"))
+    most = F.greatest(F.abs(re), F.abs(im))
+    tiny = most < F.lit(LEAST_DOUBLE)
+    scale = F.when(tiny, 1.0).otherwise(most)
+    x, y = re / scale, im / scale
+    size = F.when(tiny, 1.0).otherwise(x * x + y * y)
+    return F.struct(F.when(tiny, 0.0).otherwise(x / size / scale).alias("re"), F.when(tiny, 0.0).otherwise(-y / size / scale).alias("im"))
+
+
+def max_non_zero(value: Column, weight: Column) -> Column:
+    """The largest value with a weight above zero; of all values if there is none (an aggregate)."""
+    return F.coalesce(F.max(F.when(weight > 0, value)), F.max(value))
+
+
+def min_non_zero(value: Column, weight: Column) -> Column:
+    """The smallest value with a weight above zero; of all values if there is none (an aggregate)."""
+    return F.coalesce(F.min(F.when(weight > 0, value)), F.min(value))
 
 
 def power_above(x: Column) -> Column:
@@ -38,9 +51,10 @@ def bit_truncate(x: Column, error: Column, bits: int = 52) -> Column:
     last = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(x))) - bits)
     checked = F.when(F.isnan(error), F.raise_error(F.lit("the error of a truncation is NaN")).cast("double"))
     return (
-        checked.when((error < 0) | (error == infinite), 0.0)
+        checked.when((error == infinite) | (error == -infinite), 0.0)
         .when((x == 0) | (error == 0) | F.isnan(x) | (F.abs(x) == infinite), x)
-        .when(error < last, x)
+        .when(F.abs(error) < last, x)
+        .when(error < 0, 0.0)
         .otherwise(F.rint(x / step) * step)
     )
 

@@ -13,7 +13,7 @@ def sph_to_cart(theta: Column, phi: Column, r: Column | None = None) -> Column:
 
 def cart_to_sph(x: Column, y: Column, z: Column) -> Column:
     r = F.sqrt(x * x + y * y + z * z)
-    return F.struct(r.alias("r"), F.acos(z / r).alias("theta"), F.atan2(y, x).alias("phi"))
+    return F.struct(r.alias("r"), F.when(r == 0, 0.0).otherwise(F.acos(z / F.when(r == 0, 1.0).otherwise(r))).alias("theta"), F.atan2(y, x).alias("phi"))
 
 
 def sph_dot(a: Column, b: Column) -> Column:
@@ -29,7 +29,7 @@ def tangent_basis(theta: Column, phi: Column) -> Column:
 def sphdist(long1: Column, lat1: Column, long2: Column, lat2: Column) -> Column:
     """Great-circle distance by the haversine formula."""
     h = F.pow(F.sin((lat2 - lat1) / 2), 2) + F.cos(lat1) * F.cos(lat2) * F.pow(F.sin((long2 - long1) / 2), 2)
-    return 2 * F.asin(F.sqrt(h))
+    return 2 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
 def sph_to_ground(ha: Column, lat: Column, dec: Column) -> Column:
@@ -58,16 +58,32 @@ def rotate_ypr(yaw: Column, pitch: Column, roll: Column, x: Column, y: Column, z
 
 
 def great_circle_points(a: Column, b: Column, n: int) -> Column:
-    """An array of n points along the arc between two unit vectors; rows come of exploding it."""
-    angle = F.acos(sph_dot(a, b))
+    """An array of n points along the arc between two unit vectors; rows come of exploding it.
+    Equal ends give the point n times; opposite ends have no single arc and are an error."""
+    dot = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sph_dot(a, b)))
+    angle = F.when(dot <= -1, F.raise_error(F.lit("no single great circle joins opposite points")).cast("double")).otherwise(F.acos(dot))
+    same = F.sin(angle) == 0
+
+    def share(f: Column) -> Column:
+        return F.when(same, f).otherwise(F.sin(f * angle) / F.when(same, 1.0).otherwise(F.sin(angle)))
 
     def point(i: Column) -> Column:
-        f = i / F.lit(float(n - 1))
-        u, v = F.sin((1 - f) * angle) / F.sin(angle), F.sin(f * angle) / F.sin(angle)
-        return F.struct(*[(u * a[c] + v * b[c]).alias(c) for c in "xyz"])
+        f = i / F.lit(float(max(n - 1, 1)))
+        return F.struct(*[(share(1 - f) * a[c] + share(f) * b[c]).alias(c) for c in "xyz"])
 
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point)
 
 
+def norm_vec2(x: Column, y: Column) -> Column:
+    """The unit vector in the plane along (x, y); null for the zero vector."""
+    r = F.nullif(F.hypot(x, y), F.lit(0.0))
+    return F.struct((x / r).alias("x"), (y / r).alias("y"))
+
+
 def cosine_rule(mu: Column, x1: Column, x2: Column) -> Column:
     return F.sqrt(F.pow(x1 - x2, 2) + 2 * x1 * x2 * (1 - mu))
+
+
+def cosine_rule_outer(mu: Column, x1: Column, x2: Column) -> Column:
+    """The cosine rule for arrays: element [i][j] is the side between x1[i] and x2[j]."""
+    return F.transform(x1, lambda a: F.transform(x2, lambda b: cosine_rule(mu, a, b)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import Column
@@ -67,3 +68,52 @@ def lsd(t: Column, longitude: float, zero: float) -> Column:
     """Local stellar day number with its fraction; ``zero`` is the start of day 0."""
     part = lsa(t, longitude) / 360
     return F.rint((t - zero) / (86400 * STELLAR_S) - part) + part
+
+
+def unix_to_timestamp(t: Column) -> Column:
+    return F.timestamp_micros(F.round(t * 1e6).cast("long"))
+
+
+def naive_to_utc(ts: Column) -> Column:
+    """A timestamp without a zone, taken as UTC whatever the session's zone."""
+    return F.to_utc_timestamp(ts.cast("timestamp_ntz").cast("timestamp"), F.current_timezone())
+
+
+def ensure_unix(column: Column, kind: str) -> Column:
+    """UNIX seconds of a column whose type is ``kind`` (a simpleString); strings are ISO times or time strings."""
+    if kind in ("double", "float", "int", "bigint", "smallint", "tinyint") or kind.startswith("decimal"):
+        return column.cast("double")
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return unix_time(column)
+    if kind == "string":
+        return F.when(column.rlike(r"^\d{8}T\d{6}Z$"), unix_time(F.try_to_timestamp(F.substring(column, 1, 15), F.lit("yyyyMMdd'T'HHmmss")))).otherwise(unix_time(F.try_to_timestamp(column)))
+    raise TypeError(f"{kind} is no time")
+
+
+def bound(column: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is worked out once, however often f uses it."""
+    return F.transform(F.array(column), f)[0]
+
+
+def lsa_to_unix(angle: Column, after: Column, longitude: float) -> Column:
+    """The first time from ``after`` on with this local stellar angle."""
+    return bound(after, lambda a: bound(angle - longitude, lambda g: era_to_unix(g - F.floor(g / 360) * 360, a)))
+
+
+def lsd_zero(start: float, longitude: float) -> Column:
+    """The first time from ``start`` on at which the local stellar angle is 0: where day 0 may begin."""
+    return lsa_to_unix(F.lit(0.0), F.lit(float(start)), longitude)
+
+
+def lsd_to_unix(day: Column, longitude: float, zero: float) -> Column:
+    """The time of a local stellar day number with its fraction."""
+
+    def time_of(d: Column) -> Column:
+        about = zero + d * 86400 * STELLAR_S
+        return lsa_to_unix((d - F.floor(d)) * 360, bound(about, lambda t: t - leap_seconds_between(F.lit(float(zero)), t) - 43200), longitude)
+
+    return bound(day, time_of)
+
+
+def current_lsd(longitude: float, zero: float) -> Column:
+    return lsd(unix_time(F.current_timestamp()), longitude, zero)

@@ -12,13 +12,82 @@ class AxisException(ValueError):
     """An operation isn't defined over this axis."""
 
 
-def slice_axis(df: DataFrame, axis: str, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
-    """Positions start, start + step ... before stop, numbered anew from 0."""
+def slice_axis(df: DataFrame, axis: str, start: int = 0, stop: int | None = None, step: int = 1, length: int | None = None) -> DataFrame:
+    """Positions start, start + step ... before stop, numbered anew from 0.
+
+    Negative bounds count from the end of an axis of ``length`` positions."""
+    if step < 1:
+        raise IndexError("the step of a slice is at least 1")
+    if start < 0 or stop is not None and stop < 0:
+        if length is None:
+            raise IndexError("negative bounds need the length of the axis")
+        start, stop, step = slice(start, stop, step).indices(length)
     i = F.col(axis)
     kept = df.where(i >= start) if stop is None else df.where((i >= start) & (i < stop))
     return kept.where((i - start) % step == 0).withColumn(axis, ((i - start) / step).cast("long"))
 
 
+def put_slice(df: DataFrame, axis: str, start: int, stop: int, value: str, new: Column) -> DataFrame:
+    """Sets a value at the positions from start to before stop."""
+    return df.withColumn(value, F.when((F.col(axis) >= start) & (F.col(axis) < stop), new).otherwise(F.col(value)))
+
+
+def index_axes(df: DataFrame, axes: list[str], key: tuple, lengths: dict[str, int] | None = None) -> DataFrame:
+    """Cells under an index as of arrays: integers drop their axis, slices cut theirs, one Ellipsis
+    stands for the axes between, None adds an axis of one position (``new_0`` and so on)."""
+    if sum(k is Ellipsis for k in key) > 1:
+        raise IndexError("an index can only have a single ellipsis")
+    used = sum(k is not None and k is not Ellipsis for k in key)
+    if used > len(axes):
+        raise IndexError(f"too many indices: {used} for {len(axes)} axes")
+    left, added, lengths = list(axes), 0, lengths or {}
+    for k in key:
+        if k is None:
+            df, added = df.withColumn(f"new_{added}", F.lit(0).cast("long")), added + 1
+        elif k is Ellipsis:
+            left = left[len(axes) - used :]
+        else:
+            axis = left.pop(0)
+            if isinstance(k, slice):
+                df = slice_axis(df, axis, k.start or 0, k.stop, k.step or 1, lengths.get(axis))
+            else:
+                k = int(k)
+                if k < 0 and axis not in lengths:
+                    raise IndexError("negative positions need the length of the axis")
+                df = df.where(F.col(axis) == (k + lengths[axis] if k < 0 else k)).drop(axis)
+    return df
+
+
+def select_axis(df: DataFrame, axis: str, within: tuple[int, ...] | None = None, index: Iterable[int] | None = None, labels: tuple[DataFrame, list] | None = None) -> DataFrame:
+    """One selection of an axis: a range (start, stop, step) before listed positions, these before labels."""
+    if within is not None:
+        return slice_axis(df, axis, *within)
+    if index is not None:
+        return take_axis(df, axis, index)
+    return df if labels is None else select_labels(df, axis, *labels)
+
+
+def partition_of(position: Column, parts: int, method: str = "con", count: Column | None = None, seed: int = 0) -> Column:
+    """The part that a position of a list goes to: contiguous runs (the first ones longer by one), in turn, or at random."""
+    if parts < 1:
+        raise ValueError("a list has one part at least")
+    if method == "alt":
+        return F.pmod(position, F.lit(parts))
+    if method == "rand":
+        return F.pmod(F.xxhash64(position, F.lit(seed)), F.lit(parts))
+    if method != "con" or count is None:
+        raise ValueError("parts are con (with the count), alt or rand")
+    size, more = F.floor(count / parts), count % parts
+    return F.when(position < more * (size + 1), F.floor(position / (size + 1))).otherwise(more + F.floor((position - more * (size + 1)) / F.greatest(size, F.lit(1))))
+
+
+def sign_changes(df: DataFrame, keep: list[str], order: str, value: str) -> DataFrame:
+    """Neighbours along an order between which a value changes its sign or is zero: (low, high, f_low, f_high)."""
+    along = Window.partitionBy(*keep).orderBy(order)
+    pairs = df.select(*keep, F.col(order).alias("low"), F.lead(order).over(along).alias("high"), F.col(value).alias("f_low"), F.lead(value).over(along).alias("f_high"))
+    return pairs.where("f_low * f_high <= 0")
+
+
 def take_axis(df: DataFrame, axis: str, positions: Iterable[int]) -> DataFrame:
     """The listed positions in the listed order, with repeats; the list is short by nature."""
     wanted = df.sparkSession.createDataFrame(list(enumerate(positions)), "_to long, _from long")

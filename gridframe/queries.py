@@ -61,24 +61,24 @@ def invert_no_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*KEY, numeric.invert_no_zero(F.col("l_discount")).alias("inverse"))
 
 
-TRUNCATED = "CASE WHEN {e} < 0 THEN 0 WHEN {x} = 0 OR {e} = 0 THEN {x} ELSE round_even(({x} / g)::DOUBLE, 0)::DOUBLE * g END AS kept FROM (SELECT *, pow(2::DOUBLE, floor(log2({e})) + 1) g FROM (SELECT *, {error} AS {e} FROM lineitem WHERE {error} > 0))"
+TRUNCATED = "CASE WHEN {x} = 0 OR {e} = 0 THEN {x} ELSE round_even(({x} / g)::DOUBLE, 0)::DOUBLE * g END AS kept FROM (SELECT *, pow(2::DOUBLE, floor(log2(CASE WHEN {e} > 0 THEN {e} ELSE 1 END)) + 1) g FROM (SELECT *, {error} AS {e} FROM lineitem))"
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + TRUNCATED.format(x="l_extendedprice", e="e", error="abs(l_extendedprice * 0.001)"))
 def bit_truncate_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("abs(l_extendedprice * 0.001) > 0")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(*KEY, numeric.bit_truncate_relative(F.col("l_extendedprice"), 0.001).alias("kept"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + TRUNCATED.format(x="l_extendedprice", e="e", error="1 / sqrt(l_quantity)"))
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + TRUNCATED.format(x="l_extendedprice", e="e", error="CASE WHEN l_quantity = 0 THEN abs(l_extendedprice * 0.001) ELSE 1 / sqrt(l_quantity) END"))
 def bit_truncate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 0")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(*KEY, numeric.bit_truncate_weights(F.col("l_extendedprice"), F.col("l_quantity"), 0.001).alias("kept"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + TRUNCATED.format(x="l_extendedprice", e="e", error="l_quantity"))
 def bit_truncate_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 0")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(*KEY, numeric.bit_truncate(F.col("l_extendedprice"), F.col("l_quantity")).alias("kept"))
 
 
@@ -202,7 +202,7 @@ def split_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderkey % 6 AS part FROM orders")
 def partition_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(6)).alias("part"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", axes.partition_of(F.col("o_orderkey"), 6, "alt").alias("part"))
 
 
 @query(f"SELECT event_type, min(i) AS first_seen FROM {POSITIONS} GROUP BY ALL")
@@ -330,8 +330,12 @@ def rng_reproducible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", random.uniform(i, 5).alias("u"), random.normal(i, 5).alias("z"), random.integers(i, 5, 0, 10).alias("k"))
 
 
-@query()
+@query("""WITH e AS (SELECT s_suppkey, radians(1 + s_suppkey % 178) t, radians(s_nationkey * 5) p, radians(s_nationkey * 9) q FROM supplier),
+  v AS (SELECT s_suppkey, sin(t) * cos(p) ax, sin(t) * sin(p) ay, cos(t) az, sin(t) * cos(q) bx, sin(t) * sin(q) b_y, cos(t) bz FROM e),
+  d AS (SELECT *, acos(greatest(-1, least(1, ax * bx + ay * b_y + az * bz))) g, k, k / 4.0 f FROM v, range(5) r(k)),
+  w AS (SELECT *, CASE WHEN sin(g) = 0 THEN 1 - f ELSE sin((1 - f) * g) / sin(g) END a, CASE WHEN sin(g) = 0 THEN f ELSE sin(f * g) / sin(g) END b FROM d)
+  SELECT s_suppkey, k, round(a * ax + b * bx, 6) + 0.0 AS x, round(a * ay + b * b_y, 6) + 0.0 AS y, round(a * az + b * bz, 6) + 0.0 AS z FROM w""")
 def great_circle_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = [sphere.sph_to_cart(F.radians(1 + F.col("s_suppkey") % 178), F.radians(F.col("s_nationkey") * s)) for s in (5, 9)]
-    points = table(spark, sf_dir, "supplier").where("s_nationkey > 0").select("s_suppkey", F.posexplode(sphere.great_circle_points(*ends, 5)).alias("k", "p"))
-    return points.select("s_suppkey", "k", "p.x", "p.y", "p.z")
+    points = table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(sphere.great_circle_points(*ends, 5)).alias("k", "p"))
+    return points.select("s_suppkey", F.col("k").cast("long").alias("k"), *[(F.round(F.col(f"p.{c}"), 6) + 0.0).alias(c) for c in "xyz"])

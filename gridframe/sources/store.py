@@ -8,6 +8,7 @@ so a folder with a specification is complete.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any
@@ -47,6 +48,54 @@ class Container:
         self.datasets[name], self.dims[name] = df, list(dims)
         return self
 
+    @classmethod
+    def of_axes(cls, spark: SparkSession, specs: dict[str, dict], axes_from: Container | None = None, copy_from: Container | None = None, skip: tuple[str, ...] = (), **axes: int | list) -> Container:
+        """A container with the axes that its dataset specs name: given as a length or labels, or those of another
+        container.  ``specs`` has for each dataset its axes, the type and start value of its cells, and ``initialise``.
+        ``copy_from`` gives axes too, and the datasets none of whose axes was given anew."""
+        source = axes_from or copy_from
+        out = cls(attrs=dict(source.attrs) if source else {}, history=list(source.history) if source else [])
+        for axis in dict.fromkeys(a for spec in specs.values() for a in spec["axes"]):
+            if axis in axes:
+                given = axes[axis]
+                rows = spark.range(given).select(F.col("id").alias("idx"), F.col("id").alias("label")) if isinstance(given, int) else spark.createDataFrame(list(enumerate(given)), ["idx", "label"])
+                out.axes[axis] = rows
+            elif source and axis in source.axes:
+                out.axes[axis] = source.axes[axis]
+            else:
+                raise RuntimeError(f"no labels for the axis {axis}")
+        for name, spec in specs.items():
+            if spec.get("initialise"):
+                out.add_dataset(name, spec["axes"], spec.get("type", "double"), spec.get("start", 0))
+        for name in copy_from.datasets if copy_from else ():
+            if name not in skip and name not in out.datasets and not set(copy_from.dims[name]) & set(axes):
+                out.add(name, copy_from.datasets[name], copy_from.dims[name])
+        return out
+
+    def add_dataset(self, name: str, dims: list[str], kind: str = "double", start: float = 0) -> Container:
+        """A dense dataset with the start value in every cell."""
+        if missing := set(dims) - set(self.axes):
+            raise RuntimeError(f"no such axes: {sorted(missing)}")
+        cells = None
+        for axis in dims:
+            own = self.axes[axis].select(F.col("idx").alias(f"i_{axis}"))
+            cells = own if cells is None else cells.join(own, F.lit(True))
+        return self.add(name, cells.withColumn("value", F.lit(start).cast(kind)), dims)
+
+    def copy_filtered(self, axis: str, selection: slice | list[int], exclude_axes: tuple[str, ...] = (), copy_without_selection: bool = False) -> Container:
+        """Datasets under a selection of one axis: those with an excluded axis stay out, those without the axis
+        too unless ``copy_without_selection`` is set."""
+        out = self.select(**{axis: selection})
+        keep = [n for n, dims in self.dims.items() if not set(dims) & set(exclude_axes) and (axis in dims or copy_without_selection)]
+        out.datasets, out.dims = {n: out.datasets[n] for n in keep}, {n: out.dims[n] for n in keep}
+        return out
+
+    def project(self, *names: str) -> Container:
+        """The named datasets alone."""
+        if missing := set(names) - set(self.datasets):
+            raise ValueError(f"no such datasets: {sorted(missing)}")
+        return Container({n: self.datasets[n] for n in names}, dict(self.axes), {n: self.dims[n] for n in names}, dict(self.attrs), list(self.history))
+
     def add_history(self, name: str, entry: Any) -> None:
         if name == "order":
             raise ValueError("this name is reserved")
@@ -93,3 +142,37 @@ def load(spark: SparkSession, path: str, datasets: list[str] | None = None) -> C
         out.attrs.setdefault(r["path"], {})[r["key"]] = json.loads(r["json"])
     out.history = [(r["name"], json.loads(r["json"])) for r in spark.read.parquet(f"{path}/_history").orderBy(F.col("seq")).collect()]
     return out
+
+
+def concatenate(parts: list[Container], axis: str = "time", start: int = 0, stop: int | None = None, datasets: list[str] | None = None, dataset_filter: Callable[[str, DataFrame], DataFrame] | None = None) -> Container:
+    """One container with the parts one after another along an axis.
+
+    Datasets without the axis, attributes and history come from the first part; ``start`` and
+    ``stop`` are positions of the whole axis, negative ones from its end."""
+    first = parts[0]
+    wanted = list(first.datasets) if datasets is None else datasets
+    if missing := set(wanted) - set(first.datasets):
+        raise ValueError(f"no such datasets: {sorted(missing)}")
+    if any(axis not in p.axes for p in parts):
+        raise ValueError(f"a part has no axis {axis}")
+    lengths = [p.axes[axis].count() for p in parts]
+    start, stop, _ = slice(start, stop).indices(sum(lengths))
+
+    def joined(frames: list[DataFrame], column: str) -> DataFrame:
+        at, out = 0, None
+        for df, n in zip(frames, lengths, strict=True):
+            moved = df.withColumn(column, (F.col(column) + at).cast("long"))
+            out, at = moved if out is None else out.unionByName(moved), at + n
+        return slice_axis(out, column, start, stop)
+
+    out = Container(axes=dict(first.axes), attrs=dict(first.attrs), history=list(first.history))
+    out.axes[axis] = joined([p.axes[axis] for p in parts], "idx")
+    for name in wanted:
+        filtered = [p.datasets[name] if dataset_filter is None else dataset_filter(name, p.datasets[name]) for p in parts]
+        out.add(name, joined(filtered, f"i_{axis}") if axis in first.dims[name] else filtered[0], first.dims[name])
+    return out
+
+
+def load_many(spark: SparkSession, paths: list[str], axis: str = "time", **options: Any) -> Container:
+    """The containers of several folders, in the order given, concatenated along an axis."""
+    return concatenate([load(spark, p) for p in paths], axis, **options)
