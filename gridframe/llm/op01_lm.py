@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gridframe.llm.common import LOWER, id_remainder, materialize, slices, text_rows, tidy
 
-HEAD, SINGLES, CLASSES, WIDTH, CONTEXT, NOISE, BATCH = 50_000, 384, 512, 16, 3, 24, 2048
+HEAD, SINGLES, CLASSES, WIDTH, CONTEXT, NOISE, BATCH = 50_000, 256, 384, 16, 3, 24, 2048
 START_ROWS, RATE = 600, 0.15
 END = b""
 
