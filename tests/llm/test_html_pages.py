@@ -38,3 +38,9 @@ def test_marks_take_no_text_beside_them():
     assert text_of('<div class="layout with-sidebar"><p>Text</p><div class="sidebar">no</div></div>') == "Text"
     assert text_of('<form><p>The text of the page</p><div class="social-share">no</div></form><nav>Menu with very many words that are longer than it</nav>') == "The text of the page"
     assert text_of('<article>Short</article><div class="comments">Many long comments on it</div>') == "Short"
+
+
+def test_tags_end_where_html_ends_them():
+    assert text_of("<p>a <a title=it's href=x>b</a> c</p>") == "a b c"
+    assert text_of('<p>a <a title="x > y" data-z=\'<b>\'>b</a></p><!--> <p>c</p>') == "a b|c"
+    assert text_of("<p>a</p><!-- x --!><p>b</p><!---><p>c</p>") == "a|b|c"

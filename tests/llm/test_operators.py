@@ -135,10 +135,10 @@ def test_fillings_hold_the_histogram():
 
 def test_language(spark, docs, empty):
     rows = [(i, text, lang, "x") for i in range(60) for text, lang in [(("the house of the king and this thing ", "en"), ("der Hund und die Katze nicht ein Haus ", "de"))[i % 2]]]
-    some = spark.createDataFrame([*rows, (1000, None, "en", "x"), (1001, "12 !", "en", "x"), (1002, "the thing and the king", None, "x")], "doc_id long, text string, lang string, score string")
+    some = spark.createDataFrame([*rows, (1000, None, "en", "x"), (1001, "12 !", "en", "x"), (1003, "² ½ ①", "en", "x"), (1002, "the thing and the king", None, "x")], "doc_id long, text string, lang string, score string")
     got = {r["doc_id"]: (r["lang_pred"], r["score"], r["held_out"]) for r in language.cross_fit(some).collect()}
     assert all(got[i][0] == ("en", "de")[i % 2] and 0 <= got[i][1] <= 1 for i in range(60))
-    assert got[1000][:2] == got[1001][:2] == ("und", 0.0) and got[1002][0] == "en"
+    assert got[1000][:2] == got[1001][:2] == got[1003][:2] == ("und", 0.0) and got[1002][0] == "en"
     assert all(h == (zlib.crc32(str(d).encode()) % 3 == 1) for d, (_, _, h) in got.items())
     assert language.cross_fit(empty).count() == 0 and language.cross_fit(docs).count() == len(TEXTS)
 
@@ -212,6 +212,25 @@ def test_jaccard(spark, docs, empty):
     assert jaccard.near_groups(empty).count() == 0
 
 
+def test_jaccard_where_rows_share_an_id(spark):
+    rows = [(3, BASE[0]), (5, BASE[0]), (5, BASE[1]), (9, BASE[1] + " and"), (None, BASE[2]), (None, None), (11, "a b"), (11, "")]
+    got = sorted(jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(3, 3), (5, 3), (9, 3), (None, None), (11, 11)} and len(got) == len(rows)
+
+
+def test_repeats_in_periodic_text(spark):
+    texts = ["-" * 3000, "x" + "-=" * 700, "-" * 150 + "end", "ab" * 20]
+    got = {r["doc_id"]: r for r in repeats.digest(repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(t[k : k + 100])
+        assert (got[i]["n_bytes"], got[i]["n_removed"]) == (len(t), sum(gone))
+
+
 def test_top_k(spark):
     x = rng.normal(0, 0.3, (400, 6))
     x[100:160] = x[3]
