@@ -245,3 +245,42 @@ def test_top_k(spark):
         want += [(i, k + 1, int(j), int(s[j])) for k, j in enumerate(order)]
     assert got == sorted(want)
     assert topk.top_k(vectors.where("false"), vectors.where("false")).count() == 0
+
+
+def test_top_k_of_repeated_rows_ties_and_short_vectors(spark):
+    """Copies tie to the smaller id; of rows that share an id the smallest vector counts; short ones end in zeros."""
+    x = [(i, [float(i % 7), 1.0], None) for i in range(300)] + [(40, [-9.0, 0.0], "extra"), (60, [2.0], "extra"), (None, [1.0, 1.0], None), (80, [], None)]
+    vectors = topk.quantized(spark.createDataFrame(x, "vec_id long, embedding array<double>, rank string"))
+    got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), query_block=6).collect())
+    known = {}
+    for i, v, _ in x:
+        if i is not None:
+            known[i] = min(known.get(i, [64 * w for w in v]), [64 * w for w in v])
+    known = {i: np.array([*v, 0, 0][:2], int) for i, v in known.items()}
+    want = []
+    for i in range(0, 300, 20):
+        best = sorted((-int(known[i] @ v), j) for j, v in known.items() if j != i)[:20]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_top_k_stops_before_the_end_of_the_lists():
+    x = rng.integers(-60, 60, (4000, 12))
+    x[7] = 60 * np.sign(x[5])
+    lists, ids = topk.Lists(x), np.arange(4000)
+    floor = np.array([int(x[5] @ x[7])])
+    may = topk.first_look(x[5:6], ids[5:6], lists, ids, 1, floor, 3000)
+    rows, scores, depth = topk.read_on(x[5], lists, np.flatnonzero(may[0]), 1, int(floor[0]), 3000)
+    assert may.sum() < 400 and depth < 4000
+    assert list(rows) == [7] and list(scores) == [floor[0]]
+
+
+def test_top_k_keeps_exact_scores_of_large_values():
+    x = rng.integers(-(2**30), 2**30, (64, 3))
+    lists, ids = topk.Lists(x), np.arange(64)
+    q, c, s = topk.search_block(x[:2], ids[:2], lists, ids, 5, np.full(2, topk.NONE))
+    for i in range(2):
+        score = {j: sum(int(a) * int(b) for a, b in zip(x[i], x[j], strict=True)) for j in ids if j != i}
+        found = dict(zip(c[q == i], s[q == i], strict=True))
+        assert sorted(score, key=lambda j: -score[j])[:5] == sorted(found, key=lambda j: -found[j])[:5]
+        assert all(score[j] == v for j, v in found.items())
