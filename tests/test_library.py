@@ -93,3 +93,49 @@ def test_steps_are_checked(spark):
 def test_align_needs_a_shared_axis(spark):
     with pytest.raises(axes.AxisException):
         axes.align(spark.range(1), spark.range(1), [])
+
+
+def plain_quantile(pairs, q, method):
+    if sum(w for _, w in pairs) == 0:
+        pairs = [(v, 1) for v, _ in pairs]
+    pairs, c, lo, hi = sorted(p for p in pairs if p[1] > 0), 0, None, None
+    target = q * sum(w for _, w in pairs)
+    for v, w in pairs:
+        c += w
+        lo = v if lo is None and c >= target else lo
+        hi = v if hi is None and c > target else hi
+    hi = lo if hi is None else hi
+    return {"lower": lo, "higher": hi, "split": lo if lo == hi else (lo + hi) / 2}[method]
+
+
+@pytest.mark.parametrize(("few_groups", "few_rows", "q", "methods"), [(10_000, 1 << 17, 0.5, quantile.METHODS), (10_000, 0, 0.0, ["split"]), (10_000, 0, 0.25, ["split"]), (10_000, 0, 1.0, ["split"]), (1, 0, 0.5, ["split"])])
+def test_quantile_against_plain_python(spark, monkeypatch, few_groups, few_rows, q, methods):
+    """All ways through the levels give the same: one level, both, and with more groups than are broadcast."""
+    monkeypatch.setattr(quantile, "FEW_GROUPS", few_groups)
+    monkeypatch.setattr(quantile, "FEW_ROWS", few_rows)
+    some = [0.0, -0.5, 1.0, 1.0000000000000002, 1.0000001, 5e-324, 1e-310, -1e300, 1e300, math.inf, -math.inf, -7.25, 3.0, 3.0]
+    data = {"a": [(v, i % 4) for i, v in enumerate(some)], "b": [(float(i * i % 101) - 50, i % 3) for i in range(300)], None: [(2.0, 0), (8.0, 0)], "c": [(1e-3 * i, 1) for i in range(64)]}
+    rows = spark.createDataFrame([(g, v, w) for g, pairs in data.items() for v, w in pairs] + [("a", None, 5), ("a", 4.0, None), ("d", None, 1)], "g string, v double, w int")
+    for method in methods:
+        got = {r["g"]: r["quantile"] for r in quantile.weighted_quantile(rows, ["g"], "v", "w", q, method).collect()}
+        assert got == {g: plain_quantile(pairs, q, method) for g, pairs in data.items()}
+
+
+def test_quantile_without_groups_and_of_an_empty_table(spark):
+    rows = spark.createDataFrame([(i, i % 5) for i in range(1000)], "v long, w long")
+    assert quantile.weighted_quantile(rows, [], "v", "w").first()[0] == plain_quantile([(i, i % 5) for i in range(1000)], 0.5, "split")
+    assert [tuple(r) for r in quantile.weighted_quantile(rows.where("false"), [], "v", "w").collect()] == [(None,)]
+    assert quantile.weighted_quantile(rows.where("false"), ["w"], "v", "w").count() == 0
+
+
+def test_quantile_keeps_the_type_of_integers(spark):
+    rows = spark.createDataFrame([(v, 1) for v in (-4, -1)], "v int, w int")
+    out = quantile.weighted_quantile(rows, [], "v", "w", keep_type=True)
+    assert out.schema["quantile"].dataType.typeName() == "integer" and out.first()[0] == -2
+
+
+def test_moving_median_of_null_and_weightless_cells(spark):
+    rows = spark.createDataFrame([(0, 1.0, 0.0), (1, None, 2.0), (2, 5.0, None), (5, 3.0, 1.0), (6, 9.0, 1.0), (7, 4.0, 3.0)], "i long, v double, w double")
+    got = [(r["i"], r["median"]) for r in quantile.moving_weighted_median(rows, [], {"i": 3}, "v", "w").orderBy("i").collect()]
+    assert [i for i, _ in got] == [0, 1, 2, 5, 6, 7] and all(math.isnan(m) for _, m in got[:3])
+    assert [m for _, m in got[3:]] == [6.0, 4.0, 4.0]
