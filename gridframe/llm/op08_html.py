@@ -11,7 +11,9 @@ by its class, id or role, unless it wraps most of the page's text and all its ar
 inside elements that mark an article is chosen if it is at least half of what is left.
 
 Vectors are compared by a sum of hashes of (page, count), so no host's pages meet in one
-task; a host's template is joined to its pages under several salts.
+task.  A host with more than a thousandth of all pages (there are fewer than a thousand of
+them, so they can be broadcast) is dealt in as many parts as it has thousandths, for its
+pages and its tokens alike.
 
 A null or empty page has empty text.  Repeated rows give repeated results.
 """
@@ -30,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS, LEAST_PAGES, LEAST_TOKENS = 16, 3, 2
+from gridframe.llm.common import materialize
+
+PARTS, LEAST_PAGES, LEAST_TOKENS = 1000, 3, 2
 TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>",
@@ -162,14 +166,32 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["page", "host", "token", "n"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def heavy_hosts(pages: DataFrame) -> DataFrame:
+    """(host, parts) of the hosts with more than one of ``PARTS`` parts of all pages, so fewer than ``PARTS`` rows."""
+    total = pages.count()
+    counts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") * PARTS > total)
+    return counts.select("host", F.ceil(F.col("pages") * PARTS / F.lit(max(total, 1))).alias("parts"))
+
+
+def dealt(rows: DataFrame, heavy: DataFrame, by: str) -> DataFrame:
+    """Adds the part of its host that each row belongs to."""
+    return rows.join(F.broadcast(heavy), "host", "left").withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1)))).drop("parts")
+
+
+def copied(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Each host's row once for every part of the host."""
+    last = F.coalesce("parts", F.lit(1)) - 1
+    return rows.join(F.broadcast(heavy), "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))).drop("parts")
+
+
+def templates(pages: DataFrame, heavy: DataFrame) -> DataFrame:
     """(host, template): the tokens of each host's valid equivalence classes, at most two for each token of a mean page."""
     packed = pages.select("host", "html").mapInArrow(contents, "host string, tokens binary")
     seen = packed.distinct().mapInArrow(occurrences, "page long, host string, token long, n long")
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).cast("string")
     by_token = seen.groupBy("host", "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("on"))
     sizes = packed.select("host", F.xxhash64("tokens").alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    often = by_token.join(sizes, "host").where("2 * on >= pages")
+    often = dealt(by_token, heavy, "token").join(copied(sizes, heavy), ["host", "part"]).where("2 * on >= pages")
     valid = often.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
     return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
 
@@ -192,7 +214,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages(page_id, url, html)``."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
-    known = templates(rows).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    joined = salted.join(known, ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    heavy = materialize(heavy_hosts(rows), "hosts")
+    known = copied(templates(rows, heavy), heavy)
+    joined = dealt(rows, heavy, "page_id").join(known, ["host", "part"], "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(lambda it: slots(it, ["page_id", "url"]), "page_id long, url string, text string, n_chars long")

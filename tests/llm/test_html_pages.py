@@ -44,3 +44,15 @@ def test_tags_end_where_html_ends_them():
     assert text_of("<p>a <a title=it's href=x>b</a> c</p>") == "a b c"
     assert text_of('<p>a <a title="x > y" data-z=\'<b>\'>b</a></p><!--> <p>c</p>') == "a b|c"
     assert text_of("<p>a</p><!-- x --!><p>b</p><!---><p>c</p>") == "a|b|c"
+
+
+def test_a_host_of_most_pages_and_an_empty_table(spark):
+    """A host dealt in many parts keeps one template; repeated rows, null urls and null ids stay."""
+    page = "<body><div>Site name</div><div>Site motto</div><p>Text {0}</p></body>"
+    rows = [(i, "http://big/x", page.format(i)) for i in range(40)] + [(None, "http://big/x", page.format("n")), (3, "http://big/x", page.format(3)), (50, None, page.format("alone")), (51, "http://small/", None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"] is None, r["page_id"], r["text"], r["n_chars"]) for r in pages_html.extract(table).collect() if r["page_id"] is not None)
+    assert got == sorted([(False, i, f"Text {i}", len(f"Text {i}")) for i in [*range(40), 3]] + [(False, 50, "Site name\n\nSite motto\n\nText alone", 33), (False, 51, "", 0)])
+    assert [r["text"] for r in pages_html.extract(table).where("page_id is null").collect()] == ["Text n"]
+    assert pages_html.extract(table.where("false")).count() == 0
+    assert pages_html.heavy_hosts(table.selectExpr("case when url like '%big%' then 'big' else 'other' end as host")).count() == 2
