@@ -1,7 +1,8 @@
 """License scans by canonical digest lookup.
 
 A text is brought to a canonical form: lower case; the usual spelling variants made one;
-lines that state a copyright removed; everything but letters and digits a blank.  The
+lines that state a copyright (by a sign or a year after the word, so that no wrapped line of
+a licence is one) removed; everything but letters and digits a blank.  The
 SHA-256 digest of that form is hash-joined to the digests of known licences, so a
 document is a licence if its entire text is one.  All of it is DataFrame functions.
 
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridframe.llm.licenses import LICENSES
+
 #: Spellings that licence matching guidelines treat as the same word.
 EQUIVALENT = (
     ("acknowledgement", "acknowledgment"),
@@ -33,8 +36,8 @@ EQUIVALENT = (
     ("sublicence", "sublicense"),
     ("whilst", "while"),
 )
-#: A whole line that states a copyright, also with a sign or "all rights reserved".
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|portions copyright|all rights reserved)[^\n]*$"
+#: A whole line that states a copyright or reserves all rights.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*((portions )?copyright[ \t:,]*(\(c\)|©|[<\[]?([0-9]{4}|year|yyyy))[^\n]*|(\(c\)|©)[ \t]*[0-9]{4}[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
 #: Notices by which texts name their licence, with the names of the licences.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -44,12 +47,17 @@ NOTICES = (
 )
 
 
+def apart(words: str) -> str:
+    """The words with two blanks between, so that each has its own on either side."""
+    return f" {words.replace(' ', '  ')} "
+
+
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
     for variant, word in EQUIVALENT:
-        out = F.replace(out, F.lit(f" {variant} "), F.lit(f" {word} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(apart(variant)), F.lit(apart(word)))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def digests(known: DataFrame) -> DataFrame:
@@ -65,18 +73,19 @@ def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
     return digested.join(digests(known), "digest", "left").select("doc_id", "digest", "n_canonical", "license_id")
 
 
-def known_notices(documents: DataFrame) -> DataFrame:
-    """The notices above as a table of known licences."""
-    return documents.sparkSession.createDataFrame(list(NOTICES), "license_id string, text string")
+def known_licenses(documents: DataFrame) -> DataFrame:
+    """The notices above and the whole texts of ``licenses`` as a table of known licences."""
+    return documents.sparkSession.createDataFrame([*NOTICES, *LICENSES], "license_id string, text string")
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL with the rows of ``scan`` for the notices above."""
-    out = "' ' || trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '" + COPYRIGHT_LINE + r"', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) || ' '"
+    """DuckDB SQL with the rows of ``scan`` for the known licences above."""
+    out = "' ' || trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '" + COPYRIGHT_LINE + r"', ' ', 'g'), '[^\p{L}\p{N}]+', '  ', 'g')) || ' '"
     for variant, word in EQUIVALENT:
-        out = f"replace({out}, ' {variant} ', ' {word} ')"
-    known = ", ".join(f"('{name}', '{text}')" for name, text in NOTICES)
-    return f"""WITH k AS (SELECT sha256(trim({out})) AS digest, min(name) AS license_id FROM (VALUES {known}) v(name, text) GROUP BY 1),
-      d AS (SELECT doc_id, trim({out}) AS form FROM documents),
+        out = f"replace({out}, '{apart(variant)}', '{apart(word)}')"
+    out = f"trim(replace({out}, '  ', ' '))"
+    known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in (*NOTICES, *LICENSES))
+    return f"""WITH k AS (SELECT sha256({out}) AS digest, min(name) AS license_id FROM (VALUES {known}) v(name, text) GROUP BY 1),
+      d AS (SELECT doc_id, {out} AS form FROM documents),
       f AS (SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest, length(form) AS n_canonical FROM d)
       SELECT doc_id, digest, n_canonical, license_id FROM f LEFT JOIN k USING (digest)"""

@@ -5,7 +5,9 @@ import math
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +286,22 @@ def test_top_k_keeps_exact_scores_of_large_values():
         found = dict(zip(c[q == i], s[q == i], strict=True))
         assert sorted(score, key=lambda j: -score[j])[:5] == sorted(found, key=lambda j: -found[j])[:5]
         assert all(score[j] == v for j, v in found.items())
+
+
+def test_license_texts_however_wrapped_and_by_sql(spark):
+    """Whole licences match in other wraps, cases, spellings and with copyright lines; with anything more they don't."""
+    texts, wanted = [], []
+    for name, text in license_scan.LICENSES:
+        words = text.split()
+        texts += [text, text.upper(), "Copyright (c) 2021 Some One\nAll rights reserved.\n\n" + "\n".join(" ".join(words[i : i + 7]) for i in range(0, len(words), 7))]
+        texts += ["\n".join(words).replace("copyright", "Copyright"), text + "\nAnd one thing more."]
+        wanted += [name] * 4 + [None]
+    texts += [None, "", "Copyright 2020", "licence licence licence sublicence", "(c) you must keep this", "(c) 2020 me"]
+    wanted += [None] * 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: tuple(r) for r in license_scan.scan(docs, license_scan.known_licenses(docs)).collect()}
+    assert [rows[i][3] for i in range(len(texts))] == wanted
+    assert rows[len(texts) - 3][2] == len("license license license sublicense") and rows[len(texts) - 2][2] > 0 and rows[len(texts) - 1][2] == 0
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    assert {r[0]: r for r in con.execute(license_scan.oracle_sql()).fetchall()} == rows
