@@ -9,16 +9,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COMPLEX = T.ArrayType(T.StructType([T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())]))
+PARTS = T.StructType([T.StructField("re", T.ArrayType(T.DoubleType())), T.StructField("im", T.ArrayType(T.DoubleType()))])
 
 
 def as_structs(z: np.ndarray) -> list[dict[str, float]]:
     return [{"re": float(v.real), "im": float(v.imag)} for v in z]
 
 
-@F.pandas_udf(COMPLEX)
-def rfft(values: pd.Series) -> pd.Series:
+@F.pandas_udf(PARTS)
+def rfft_parts(values: pd.Series) -> pd.DataFrame:
+    known = values.notna().to_numpy()
+    lengths = values[known].map(len)
+    z = pd.Series([None] * len(values), index=values.index, dtype=object)
+    for _, same in values[known].groupby(lengths):  # arrays of one length are transformed together
+        for at, row in zip(same.index, np.fft.rfft(np.stack(same.to_list()), axis=1), strict=True):
+            z[at] = row
+    return pd.DataFrame({"re": [None if v is None else v.real for v in z], "im": [None if v is None else v.imag for v in z]})
+
+
+def rfft(values: Column) -> Column:
     """Transform of a real array (non-negative frequencies)."""
-    return pd.Series([None if v is None else as_structs(np.fft.rfft(v)) for v in values])
+    z = rfft_parts(values)
+    return F.arrays_zip(z["re"], z["im"]).cast(COMPLEX)
 
 
 @F.pandas_udf(COMPLEX)

@@ -1,12 +1,13 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridframe import queries as library
 from gridframe.functions import numeric, timescale
-from gridframe.operators import axes, quantile, series
+from gridframe.operators import axes, quantile, series, signal
 from gridframe.plans import steps
 from gridframe.sources import store
 
@@ -139,3 +140,12 @@ def test_moving_median_of_null_and_weightless_cells(spark):
     got = [(r["i"], r["median"]) for r in quantile.moving_weighted_median(rows, [], {"i": 3}, "v", "w").orderBy("i").collect()]
     assert [i for i, _ in got] == [0, 1, 2, 5, 6, 7] and all(math.isnan(m) for _, m in got[:3])
     assert [m for _, m in got[3:]] == [6.0, 4.0, 4.0]
+
+
+def test_rfft_of_several_lengths_and_nulls(spark):
+    arrays = [[1.0, 2.0, 3.0], None, [4.0, -1.0, 0.5, 2.0], [0.0, 1.0, 0.0]]
+    rows = spark.createDataFrame(list(enumerate(arrays)), "i int, v array<double>").coalesce(1)
+    for r in rows.select("i", signal.rfft(F.col("v")).alias("z")).collect():
+        want = None if arrays[r["i"]] is None else np.fft.rfft(arrays[r["i"]])
+        assert (r["z"] is None) == (want is None)
+        assert want is None or np.allclose([complex(z["re"], z["im"]) for z in r["z"]], want)
