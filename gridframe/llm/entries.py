@@ -17,6 +17,9 @@ from gridframe.llm import op07_repeats as repeats
 from gridframe.llm import op08_html as pages_html
 from gridframe.llm import op09_jaccard as jaccard
 from gridframe.llm import op10_topk as topk
+from gridframe.llm import op11_filters as filters
+from gridframe.llm import op12_lexical as lexical
+from gridframe.llm import op13_simhash as simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +74,17 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_benchmark_decontamination, op3_best_fit_packing, op4_language_id, op5_quality_classifier, op6_license_scan, op7_suffix_array_dedup, op8_html_extraction, op9_ngram_jaccard_join, op10_exact_topk)}
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql()}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_benchmark_decontamination, op3_best_fit_packing, op4_language_id, op5_quality_classifier, op6_license_scan, op7_suffix_array_dedup, op8_html_extraction, op9_ngram_jaccard_join, op10_exact_topk, op11_filter_audit, op12_lexical_search, op13_simhash_groups)}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql(), "op11_filter_audit": filters.oracle_sql(), "op12_lexical_search": lexical.oracle_sql()}
