@@ -76,7 +76,7 @@ def unix_to_timestamp(t: Column) -> Column:
 
 def naive_to_utc(ts: Column) -> Column:
     """A timestamp without a zone, taken as UTC whatever the session's zone."""
-    return F.to_utc_timestamp(ts.cast("timestamp_ntz").cast("timestamp"), F.current_timezone())
+    return F.concat(ts.cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp")
 
 
 def ensure_unix(column: Column, kind: str) -> Column:

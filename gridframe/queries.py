@@ -319,15 +319,47 @@ def fft_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectrum.select("vec_id", F.posexplode("p").alias("k", "power")).select("vec_id", "k", F.round("power", 6).alias("power"))
 
 
-@query()
-def pfb_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.pfb(positions(spark, sf_dir), "i", "value", 32)
+PFB_SQL = f"""WITH w AS (SELECT n, CASE WHEN x = 0 THEN 1 ELSE sin(pi() * x) / (pi() * x) END * (0.54 - 0.46 * cos(2 * pi() * n / 127)) AS w FROM (SELECT n, (n / 128.0::DOUBLE - 0.5) * 4 AS x FROM range(128) r(n))),
+  s AS (SELECT i, value AS v FROM {POSITIONS}), b AS (SELECT b FROM range((SELECT count(*) // 32 - 3 FROM s)::BIGINT) r(b)),
+  cells AS (SELECT b, n, v * w AS x FROM b, w JOIN s ON i = 32 * b + n)
+  SELECT b AS block, c AS channel, round(sum(x * cos(2 * pi() * c * n / 32)), 6) + 0.0 AS re, round(sum(-x * sin(2 * pi() * c * n / 32)), 6) + 0.0 AS im FROM cells, range(16) r(c) GROUP BY ALL"""
 
 
-@query()
+@query(PFB_SQL)
+def pfb_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = signal.pfb(positions(spark, sf_dir), "i", "value", 32)
+    return z.select("block", "channel", *[(F.round(c, 6) + 0.0).alias(c) for c in ("re", "im")])
+
+
+def xxh64_sql(h: str, of: str, long: bool) -> list[dict[str, str]]:
+    """Layers that continue the hash column ``h`` by an integer of 8 or 4 bytes: XXH64, in unsigned numbers of 128 bits."""
+    p = [f"{x}::UHUGEINT" for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)]
+    word = "18446744073709551616::UHUGEINT"
+    times = lambda a, b: f"(({a}) * {b} % {word})"
+    rolled = lambda a, r: f"(({a}) * {1 << r}::UHUGEINT % {word} + ({a}) // {1 << 64 - r}::UHUGEINT)"
+    mixed = times(rolled(times(f"{of}::UHUGEINT", p[1]), 31), p[0]) if long else times(f"{of}::UHUGEINT", p[0])
+    steps = [{"h0": f"xor(({h} + {p[4]} + {8 if long else 4}::UHUGEINT) % {word}, {mixed})"}]
+    steps.append({"h1": f"({times(rolled('h0', 27 if long else 23), p[0] if long else p[1])} + {p[3] if long else p[2]}) % {word}"})
+    for shift, factor in ((33, p[1]), (29, p[2])):
+        steps.append({f"g{shift}": f"xor(h{1 if shift == 33 else 2}, h{1 if shift == 33 else 2} // {1 << shift}::UHUGEINT)"})
+        steps.append({f"h{2 if shift == 33 else 3}": times(f"g{shift}", factor)})
+    return [*steps, {"h4": f"xor(h3, h3 // {1 << 32}::UHUGEINT)"}]
+
+
+def uniform_sql(stream: int, seed: int = 5) -> str:
+    """(event_id, u): the uniform numbers of a stream."""
+    source = "SELECT event_id, 42::UHUGEINT AS h FROM events"
+    for of, long in (("event_id", True), (str(seed), False), (str(stream), False)):
+        for step in xxh64_sql("h", of, long):
+            source = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in step.items())} FROM ({source})"
+        source = f"SELECT event_id, h4 AS h FROM ({source})"
+    return f"(SELECT event_id, (h // 2048::UHUGEINT)::DOUBLE / {1 << 53} AS u{stream} FROM ({source}))"
+
+
+@query(f"SELECT event_id, u0 AS u, round(sqrt(-2 * ln(1 - u1)) * cos(2 * pi() * u2), 9) + 0.0 AS z, floor(u3 * 10)::BIGINT AS k FROM {uniform_sql(0)} JOIN {uniform_sql(1)} USING (event_id) JOIN {uniform_sql(2)} USING (event_id) JOIN {uniform_sql(3)} USING (event_id)")
 def rng_reproducible(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", random.uniform(i, 5).alias("u"), random.normal(i, 5).alias("z"), random.integers(i, 5, 0, 10).alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", random.uniform(i, 5).alias("u"), (F.round(random.normal(i, 5), 9) + 0.0).alias("z"), random.integers(i, 5, 0, 10).alias("k"))
 
 
 @query("""WITH e AS (SELECT s_suppkey, radians(1 + s_suppkey % 178) t, radians(s_nationkey * 5) p, radians(s_nationkey * 9) q FROM supplier),
