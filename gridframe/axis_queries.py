@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridframe.functions import numeric, sphere, strings, timescale
 from gridframe.operators import axes
 from gridframe.queries import query, table
-from gridframe.sources import store
+from gridframe.sources import folders, reader, store
 
 LONGITUDE, DAY_ZERO = 240.38, 1384489290.0
 SUPPLIERS = "(SELECT s_suppkey::BIGINT AS i, s_acctbal AS v, s_nationkey AS nation FROM supplier)"
@@ -141,3 +141,23 @@ def cosine_rule_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = sphere.cosine_rule_outer(F.lit(0.25), x1, F.array(*[F.lit(2.0 * j) for j in range(3)]))
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(sides).alias("i", "row"))
     return rows.select("s_suppkey", F.col("i").cast("long").alias("i"), F.posexplode("row").alias("j", "side")).select("s_suppkey", "i", F.col("j").cast("long").alias("j"), F.round("side", 9).alias("side"))
+
+
+@query("SELECT i - min(i) OVER () AS i_place, i AS label, v AS value FROM (SELECT s_suppkey::BIGINT AS i, s_acctbal AS v FROM supplier) WHERE i >= (SELECT count(*) // 3 FROM supplier) AND i < (SELECT count(*) // 3 * 2 FROM supplier)")
+def containers_read_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers saved as four containers, the last of them in two writes, and a range of labels read back from them."""
+    rows = suppliers(spark, sf_dir).select("i", "v")
+    n, at = rows.count(), folders.scratch(spark)
+
+    def part(low: int, high: int) -> store.Container:
+        own = rows.where((F.col("i") >= low) & (F.col("i") < high)).withColumn("i_place", F.col("i") - low)
+        held = store.Container(axes={"place": own.select(F.col("i_place").alias("idx"), F.col("i").alias("label"))})
+        return held.add("balance", own.select("i_place", F.col("v").alias("value")), ["place"])
+
+    first = rows.agg(F.min("i")).first()[0]
+    edges = [first + k * n // 4 for k in range(4)]
+    for k, (low, high) in enumerate(zip(edges, [*edges[1:], first + n * 7 // 8], strict=True)):
+        part(low, high).save(f"{at}/part-{k}")
+    part(first + n * 7 // 8, first + n).append(f"{at}/part-3", "place")
+    held = reader.Reader(spark, f"{at}/part-*", "place").select_range(n // 3, n // 3 * 2).read()
+    return held.datasets["balance"].join(held.axes["place"].withColumnRenamed("idx", "i_place"), "i_place").select("i_place", "label", "value")

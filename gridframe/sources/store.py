@@ -1,8 +1,8 @@
 """A container: datasets, axis tables, attributes and history under one folder.
 
 Datasets are Parquet tables in cell layout; attributes are (path, key, JSON) rows and
-history (seq, name, JSON) rows.  The tables are written first and the specification last,
-so a folder with a specification is complete.
+history (seq, name, JSON) rows.  A container is written aside and renamed when it is complete.
+What is appended later lies in folders of the same kind under ``more``; only complete ones count.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.operators.axes import slice_axis, take_axis
+from gridframe.sources import folders
 
 
 def encode(value: Any) -> str:
@@ -107,28 +108,64 @@ class Container:
         if unknown:
             raise RuntimeError(f"no such axes: {sorted(unknown)}")
 
-        def cut(df: DataFrame, column: str, by: slice | list[int]) -> DataFrame:
-            return slice_axis(df, column, by.start or 0, by.stop, by.step or 1) if isinstance(by, slice) else take_axis(df, column, by)
+        def cut(df: DataFrame, column: str, by: slice | list[int], n: int | None) -> DataFrame:
+            return slice_axis(df, column, by.start or 0, by.stop, by.step or 1, n) if isinstance(by, slice) else take_axis(df, column, by)
 
         out = Container(dict(self.datasets), dict(self.axes), dict(self.dims), dict(self.attrs), list(self.history))
         for axis, by in selections.items():
-            out.axes[axis] = cut(self.axes[axis], "idx", by)
+            from_end = isinstance(by, slice) and any(x is not None and x < 0 for x in (by.start, by.stop, by.step))
+            n = self.axes[axis].count() if from_end else None
+            out.axes[axis] = cut(self.axes[axis], "idx", by, n)
             for name, dims in self.dims.items():
                 if axis in dims:
-                    out.datasets[name] = cut(out.datasets[name], f"i_{axis}", by)
+                    out.datasets[name] = cut(out.datasets[name], f"i_{axis}", by, n)
         return out
 
-    def save(self, path: str, mode: str = "errorifexists", compression: str = "zstd") -> None:
+    def save(self, path: str, mode: str = "errorifexists", compression: str = "zstd", preserve: bool = False) -> None:
+        """Writes all tables aside and renames the folder last; a write that fails leaves nothing that loads.
+
+        ``mode`` is "errorifexists" or "overwrite"; ``preserve`` keeps what a failed write has left aside."""
+        if mode not in ("errorifexists", "overwrite"):
+            raise ValueError(f"{mode} is no mode of saving")
+        spark = next(iter([*self.datasets.values(), *self.axes.values()])).sparkSession
+        with folders.committed(spark, path, mode == "overwrite", preserve) as aside:
+            for kind, tables in (("data", self.datasets), ("axes", self.axes)):
+                for name, df in tables.items():
+                    df.write.option("compression", compression).parquet(f"{aside}/{kind}/{name}")
+            rows = [(p, k, encode(v)) for p, own in self.attrs.items() for k, v in sorted(own.items())]
+            spark.createDataFrame(rows, "path string, key string, json string").coalesce(1).write.parquet(f"{aside}/_attrs")
+            rows = [(i, n, encode(e)) for i, (n, e) in enumerate(self.history)]
+            spark.createDataFrame(rows, "seq int, name string, json string").coalesce(1).write.parquet(f"{aside}/_history")
+            spec = json.dumps({"dims": self.dims, "axes": sorted(self.axes)})
+            spark.createDataFrame([(spec,)], "value string").coalesce(1).write.text(f"{aside}/_spec")
+
+    def append(self, path: str, axis: str = "time") -> None:
+        """Adds this container to a saved one along an axis, wholly or not at all.
+
+        Both have the same datasets, with the same axes and types of cells.  A writer that meets another one's
+        rename fails, and may try again."""
         spark = next(iter([*self.datasets.values(), *self.axes.values()])).sparkSession
-        for kind, tables in (("data", self.datasets), ("axes", self.axes)):
-            for name, df in tables.items():
-                df.write.mode(mode).option("compression", compression).parquet(f"{path}/{kind}/{name}")
-        rows = [(p, k, encode(v)) for p, own in self.attrs.items() for k, v in sorted(own.items())]
-        spark.createDataFrame(rows, "path string, key string, json string").coalesce(1).write.mode(mode).parquet(f"{path}/_attrs")
-        rows = [(i, n, encode(e)) for i, (n, e) in enumerate(self.history)]
-        spark.createDataFrame(rows, "seq int, name string, json string").coalesce(1).write.mode(mode).parquet(f"{path}/_history")
-        spec = json.dumps({"dims": self.dims, "axes": sorted(self.axes)})
-        spark.createDataFrame([(spec,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/_spec")
+        held = load(spark, path)
+        for name in sorted(set(held.datasets) | set(self.datasets)):
+            mine, kept = self.datasets.get(name), held.datasets.get(name)
+            if mine is None or kept is None or self.dims[name] != held.dims[name] or dict(mine.dtypes) != dict(kept.dtypes):
+                raise ValueError(f"{name} doesn't fit what is in {path}")
+        if axis not in held.axes or axis not in self.axes:
+            raise ValueError(f"no axis {axis}")
+        n, k = held.axes[axis].count(), len(appended(spark, path))
+        more = Container(attrs=dict(self.attrs), history=list(self.history))
+        more.axes[axis] = self.axes[axis].withColumn("idx", (F.col("idx") + n).cast(held.axes[axis].schema["idx"].dataType))
+        for name, df in self.datasets.items():
+            if axis in self.dims[name]:
+                more.add(name, df.withColumn(f"i_{axis}", (F.col(f"i_{axis}") + n).cast(df.schema[f"i_{axis}"].dataType)), self.dims[name])
+        more.save(f"{path}/more/{k}")
+
+
+def appended(spark: SparkSession, path: str) -> list[str]:
+    """The folders of what was appended, in order."""
+    fs, at = folders.hadoop(spark, f"{path}/more")
+    found = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return [f"{path}/more/{k}" for k in sorted(int(x) for x in found if x.isdigit())]
 
 
 def load(spark: SparkSession, path: str, datasets: list[str] | None = None) -> Container:
@@ -137,7 +174,12 @@ def load(spark: SparkSession, path: str, datasets: list[str] | None = None) -> C
     wanted = sorted(spec["dims"]) if datasets is None else datasets
     if missing := set(wanted) - set(spec["dims"]):
         raise ValueError(f"no such datasets: {sorted(missing)}")
-    out = Container({n: spark.read.parquet(f"{path}/data/{n}") for n in wanted}, {a: spark.read.parquet(f"{path}/axes/{a}") for a in spec["axes"]}, {n: spec["dims"][n] for n in wanted})
+    specs = [(p, json.loads(spark.read.text(f"{p}/_spec").first()[0])) for p in appended(spark, path)]
+
+    def table(kind: str, name: str, having: str) -> DataFrame:
+        return spark.read.parquet(f"{path}/{kind}/{name}", *[f"{p}/{kind}/{name}" for p, own in specs if name in own[having]])
+
+    out = Container({n: table("data", n, "dims") for n in wanted}, {a: table("axes", a, "axes") for a in spec["axes"]}, {n: spec["dims"][n] for n in wanted})
     for r in spark.read.parquet(f"{path}/_attrs").collect():
         out.attrs.setdefault(r["path"], {})[r["key"]] = json.loads(r["json"])
     out.history = [(r["name"], json.loads(r["json"])) for r in spark.read.parquet(f"{path}/_history").orderBy(F.col("seq")).collect()]
@@ -157,6 +199,10 @@ def concatenate(parts: list[Container], axis: str = "time", start: int = 0, stop
         raise ValueError(f"a part has no axis {axis}")
     lengths = [p.axes[axis].count() for p in parts]
     start, stop, _ = slice(start, stop).indices(sum(lengths))
+    for k, part in enumerate(parts[1:], 1):
+        for name in wanted:
+            if name not in part.datasets or part.dims[name] != first.dims[name] or dict(part.datasets[name].dtypes) != dict(first.datasets[name].dtypes):
+                raise ValueError(f"{name} of part {k} doesn't fit that of the first")
 
     def joined(frames: list[DataFrame], column: str) -> DataFrame:
         at, out = 0, None

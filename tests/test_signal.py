@@ -145,7 +145,7 @@ def test_integer_truncation(spark):
 
 
 def test_places_on_the_sphere(spark):
-    df = spark.createDataFrame([(0.3, 0.8, 1.1, 0.4), (2.0, 3.0, 0.5, -1.0)], "ha double, dec double, lat double, x double")
+    df = spark.createDataFrame([(0.3, 0.8, 1.1, 0.4), (2.0, 0.9, 0.5, -1.0)], "ha double, dec double, lat double, x double")
     ground = sphere.sph_to_ground(F.col("ha"), F.col("lat"), F.col("dec"))
     for r in df.select("*", ground.alias("g")).collect():
         h, d, lat = r["ha"], r["dec"], r["lat"]
