@@ -52,6 +52,11 @@ MARKS = set(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer footer header masthead menu nav navbar navigation "
     "newsletter notice notices pager pagination popup promo promoted related share sharing sidebar social sponsor sponsored subscribe tags toolbar widget contentinfo complementary search".split()
 )
+#: Words that say where such a part stands or what shape it has; for headers and footers (an article and
+#: its sections have their own) only those of the first line; for comments also who writes them, or on what.
+FRAME = set("site main global top bottom sticky fixed mobile desktop bar wrapper container inner".split())
+SHAPES = set("left right box list section area block wrap outer item items primary secondary floating panel zone slot unit row group links link inline".split())
+WRITERS = set("user users reader readers post posts article story entry".split())
 
 
 def walk(page: str) -> Iterator[tuple[str, str, bool, bool]]:
@@ -140,9 +145,16 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, tuple[int, ...], tuple[tu
 
 
 def marked(attributes: str) -> bool:
-    """Whether a class, id or role is made of words that mark furniture only."""
+    """Whether a class, id or role has a word that marks furniture, and else only words of place and shape
+    (so ``comments-list`` and ``top-banner`` are marked, ``with-sidebar`` and ``post-header`` are not)."""
     names = (token for a, b, c in NAMES.findall(attributes) for token in (a or b or c).lower().split())
-    return any(MARKS.issuperset(words) for words in (re.findall(r"[a-z]+", name) for name in names) if words)
+    return any(marks_furniture(re.findall(r"[a-z]+", name)) for name in names)
+
+
+def marks_furniture(words: list[str]) -> bool:
+    own = MARKS.intersection(words)
+    beside = FRAME if own & {"header", "footer"} else FRAME | SHAPES | (WRITERS if own & {"comment", "comments"} else set())
+    return bool(own) and all(w in MARKS or w in beside for w in words)
 
 
 def token_of(path: str, text: str) -> int:

@@ -40,6 +40,20 @@ def test_marks_take_no_text_beside_them():
     assert text_of('<article>Short</article><div class="comments">Many long comments on it</div>') == "Short"
 
 
+def test_names_of_place_and_shape_beside_a_mark():
+    for name in "comments-list comment-section user-comments post-comments site-header main-nav sidebar-left cookie-bar ad-box top-banner".split():
+        assert text_of(f'<div><h1>Title</h1><p>Text</p></div><div class="{name}"><p>reader says hi</p></div>') == "Title|Text"
+        assert text_of(f'<div id={name}><p>no</p></div><p>Text of the page</p>') == "Text of the page"
+    for name in "with-sidebar has-comments post-header section-header article-footer header-image no-ads adlib entry-content main-content commentary".split():
+        assert text_of(f'<div class="{name}"><p>Text</p></div><p>more</p>') == "Text|more"
+
+
+def test_reader_comments_go_on_hosts_with_a_template(spark):
+    page = '<body><div>Site name</div><div>Site motto</div><article><p>Main text {0}</p></article><div class="comments-list"><p>reader {0} says hi</p></div></body>'
+    got = extracted(spark, [(i, f"http://h/{i}", page.format(i)) for i in range(4)])
+    assert all(got[i] == f"Main text {i}" for i in range(4))
+
+
 def test_tags_end_where_html_ends_them():
     assert text_of("<p>a <a title=it's href=x>b</a> c</p>") == "a b c"
     assert text_of('<p>a <a title="x > y" data-z=\'<b>\'>b</a></p><!--> <p>c</p>') == "a b|c"

@@ -305,3 +305,13 @@ def test_license_texts_however_wrapped_and_by_sql(spark):
     con = duckdb.connect()
     con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
     assert {r[0]: r for r in con.execute(license_scan.oracle_sql()).fetchall()} == rows
+
+
+def test_counts_of_buckets_beyond_32_bits():
+    """A bucket of over 2**31 shingles is not taken for one that stands alone."""
+    full = pa.array([np.array([7], np.uint16).tobytes()] * 40_000, pa.binary())
+    counts = pa.array([np.array([0xFFFF], np.uint16).tobytes()] * 40_000, pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 40_000, pa.int32()), full, counts], ["chunk", "places", "counts"])
+    (out,) = jaccard.add_chunks(iter([batch]))
+    packed = np.frombuffer(out.column("counts")[0].as_py(), np.uint8)
+    assert jaccard.rarities(packed, np.array([7, 8])).tolist() == [15, 0]
