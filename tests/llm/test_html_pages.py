@@ -42,7 +42,7 @@ def test_marks_take_no_text_beside_them():
 
 def test_names_of_place_and_shape_beside_a_mark():
     for name in "comments-list comment-section user-comments post-comments site-header main-nav sidebar-left cookie-bar ad-box top-banner".split():
-        assert text_of(f'<div><h1>Title</h1><p>Text</p></div><div class="{name}"><p>reader says hi</p></div>') == "Title|Text"
+        assert text_of(f'<div><h1>Title</h1><p>Text of the page</p></div><div class="{name}"><p>reader says hi</p></div>') == "Title|Text of the page"
         assert text_of(f'<div id={name}><p>no</p></div><p>Text of the page</p>') == "Text of the page"
     for name in "with-sidebar has-comments post-header section-header article-footer header-image no-ads adlib entry-content main-content commentary".split():
         assert text_of(f'<div class="{name}"><p>Text</p></div><p>more</p>') == "Text|more"
