@@ -7,14 +7,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridframe.operators import quantile
+from gridframe.sources import folders
+
 
 def with_positions(df: DataFrame, order: list[str], name: str = "i", partitions: int | None = None) -> DataFrame:
     """Consecutive positions from 0 in a total order, without bringing all rows to one task.
 
-    Rows are range-partitioned by the order; each partition's first position is the number
-    of rows in those before it (one small row a partition)."""
+    Rows are range-partitioned by the order and written as a table of the session's shared folder, as the
+    bounds of ranges are sampled and would differ if a lost part were made again; each partition's first
+    position is the number of rows in those before it (one small row a partition)."""
     ranged = df.repartitionByRange(*order) if partitions is None else df.repartitionByRange(partitions, *order)
-    ranged = ranged.withColumn("_p", F.spark_partition_id()).persist()
+    held = folders.scratch(df.sparkSession)
+    ranged.withColumn("_p", F.spark_partition_id()).write.parquet(held)
+    ranged = df.sparkSession.read.schema(ranged.withColumn("_p", F.lit(0)).schema).parquet(held)
     sizes = sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
     starts, total = {}, 0
     for p, n in sizes:
@@ -41,10 +47,11 @@ def concatenate(parts: list[DataFrame], axis: str, lengths: list[int], start: in
 
 
 def bin_centres(df: DataFrame, time: str, order: list[str], alignment: float, name: str = "centre") -> DataFrame:
-    """time + alignment * half the median spacing."""
+    """time + alignment * half the median spacing (found by dividing buckets, so no task orders all spacings)."""
     gaps = with_positions(df.select(time, *[c for c in order if c != time]), order).select("i", time)
     before = gaps.select((F.col("i") + 1).alias("i"), F.col(time).alias("_before"))
-    spacing = gaps.join(before, "i").agg(F.abs(F.median(F.col(time) - F.col("_before"))).alias("_gap"))
+    steps = gaps.join(before, "i").select((F.col(time) - F.col("_before")).cast("double").alias("_d"), F.lit(1.0).alias("_w"))
+    spacing = quantile.weighted_quantile(steps, [], "_d", "_w", 0.5, "split", "_gap").select(F.abs("_gap").alias("_gap"))
     return df.join(F.broadcast(spacing)).withColumn(name, F.col(time) + F.lit(alignment) * F.col("_gap") / 2).drop("_gap")
 
 
