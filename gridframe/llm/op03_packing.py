@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from gridframe.llm.common import materialize, slices, text_rows, tidy
 
 CAPACITY, END_ID, ROUNDS = 4096, 1, 150
-#: Bounds of a task's word cache: entries, and bytes of a word that is kept.
+#: Bounds of a worker's word cache: entries, and bytes of a word that is kept.
 CACHE_WORDS, CACHE_BYTES = 600_000, 64
 #: ASCII signs that may end a word (fixed values); the apostrophe may begin a contraction.
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -40,6 +40,17 @@ BYTE_SIGNS = dict(zip([b for b in range(256) if b != 32 and not (33 <= b <= 126
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, rank long"
 
 
+#: The vocabulary that this worker has read, and its cache: tasks that follow go on with them.
+HELD: dict[str, WordIds] = {}
+
+
+def held_words(path: str) -> WordIds:
+    if path not in HELD:
+        HELD.clear()
+        HELD[path] = WordIds(path)
+    return HELD[path]
+
+
 class WordIds:
     """Little-endian ids of whole texts, put together from those of words.
 
@@ -125,7 +136,7 @@ def letters_and_signs(word: bytes) -> tuple[bytes, bytes] | None:
 
 
 def cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    words = WordIds(path)
+    words = held_words(path)
     end, seen, block = np.array([end_id], "<u4").tobytes(), Counter(), TaskContext.get().partitionId()
     names = [x.split()[0] for x in PIECES.split(",")] + ["ids"] * keep_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * keep_ids
