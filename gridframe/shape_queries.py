@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.operators import quantile, shapes
 from gridframe.queries import query, table
+from gridframe.sources import collections, folders, store, tree
 
 CELLS = "(SELECT vec_id AS v, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 
@@ -59,3 +62,65 @@ def median_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def attributes_in_typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+def kinds(spark: SparkSession, sf_dir: str) -> tree.Tree:
+    """Orders and customers as a tree: the prices of orders by status, and the balances and names of customers."""
+    out = tree.Tree()
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("value"), "o_orderstatus")
+    for status in "FOP":
+        out.create_dataset(f"orders/{status}/price", orders.where(F.col("o_orderstatus") == status).drop("o_orderstatus"), ["i"], status=status)
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.col("c_acctbal").alias("value"), F.col("c_name").cast("binary").alias("name"))
+    out.create_dataset("customers/balance", customers.select("i", "value"), ["i"])
+    out.create_dataset("customers/name", customers.select("i", "name"), ["i"])
+    return out
+
+
+@query("SELECT 'orders/' || o_orderstatus || '/price' AS path, count(*) AS cells FROM orders GROUP BY ALL UNION ALL SELECT unnest(['customers/balance', 'customers/name']), count(*) FROM customer")
+def tree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of each dataset of a tree that was saved and read again."""
+    at = folders.scratch(spark)
+    kinds(spark, sf_dir).save(spark, at)
+    return tree.load(spark, at).sizes()
+
+
+@query("SELECT (o_orderkey - 100)::BIGINT // 2 AS i, o_orderstatus AS status, o_totalprice AS value FROM orders WHERE o_orderkey >= 100 AND (o_orderkey - 100) % 2 = 0 AND o_orderstatus <> 'P'")
+def tree_copied_with_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group copied with every second position from the hundredth on, without one of its datasets."""
+    part = kinds(spark, sf_dir).copy({"i": slice(100, None, 2)}, "orders", lambda path: not path.startswith("P/"))
+    return reduce(DataFrame.unionByName, [df.select("i", F.lit(part.attrs[p]["status"]).alias("status"), "value") for p, df in part.datasets.items()])
+
+
+@query("SELECT c_custkey AS i, c_name AS name FROM customer WHERE c_custkey < (SELECT max(c_custkey) FROM customer) - 9")
+def tree_copied_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names held as bytes, copied as text without the last ten positions."""
+    return kinds(spark, sf_dir).copy({"i": slice(None, -10)}, "customers", as_text=True)["name"]
+
+
+def balances(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Containers of customers' balances, one for each segment in a folder of its name."""
+    at = folders.scratch(spark)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i_place"), F.col("c_acctbal").alias("value"), "c_mktsegment")
+    for segment in ("BUILDING", "AUTOMOBILE", "MACHINERY"):
+        own = rows.where(F.col("c_mktsegment") == segment).drop("c_mktsegment")
+        held = store.Container(axes={"place": own.select(F.col("i_place").alias("idx"), F.col("i_place").alias("label"))})
+        held.add("balance", own, ["place"]).save(f"{at}/of_{segment.lower()}.cells")
+    return folders.find(spark, f"{at}/of_*.cells")
+
+
+@query("SELECT o_orderkey, 'of_' || lower(c_mktsegment) AS tag, c_acctbal AS balance FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')")
+def containers_matched_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order beside its customer's balance, from the container that a key of the order's row names."""
+    held = collections.collection(spark, balances(spark, sf_dir), "balance")
+    wants = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_custkey").alias("i_place"), "c_mktsegment")
+    both = collections.matched(wants, held, F.format_string("of_%s", F.lower("c_mktsegment")), ["i_place"])
+    return both.select("o_orderkey", "tag", F.col("value").alias("balance"))
+
+
+@query("SELECT n_nationkey, s.tag, count(c.c_custkey) AS n, round(sum(c_acctbal), 4) AS total FROM nation JOIN (VALUES (0, 'of_automobile'), (1, 'of_building'), (2, 'of_machinery')) s(k, tag) ON n_nationkey % 3 = s.k JOIN customer c ON 'of_' || lower(c_mktsegment) = s.tag GROUP BY ALL")
+def containers_matched_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations beside the containers of a collection in turn: how much lies in each one's container."""
+    paths = balances(spark, sf_dir)
+    held = collections.collection(spark, paths, "balance").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey")
+    return collections.in_turn(nations, "n_nationkey", held, collections.in_order(spark, paths)).select("n_nationkey", "tag", "n", "total")
