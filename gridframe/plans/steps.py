@@ -8,11 +8,9 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-STEPS: dict[str, Callable[..., DataFrame]] = {}
-
+from gridframe.plans.parameters import ConfigError, checked
 
-class ConfigError(ValueError):
-    """A description of steps is wrong."""
+STEPS: dict[str, Callable[..., DataFrame]] = {}
 
 
 def step(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -22,7 +20,8 @@ def step(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 
 def lint(description: list[dict[str, Any]], inputs: set[str]) -> list[str]:
-    """What is wrong with a description: unknown steps, parameters, inputs, and outputs made twice."""
+    """What is wrong with a description: unknown steps, parameters and inputs, values that a step's
+    signature doesn't allow, and outputs made twice."""
     known, wrong = set(inputs), []
     for i, d in enumerate(description):
         f = STEPS.get(d.get("type", ""))
@@ -33,6 +32,7 @@ def lint(description: list[dict[str, Any]], inputs: set[str]) -> list[str]:
             inspect.signature(f).bind(*d.get("in", []), **d.get("params", {}))
         except TypeError as e:
             wrong.append(f"step {i}: {e}")
+        wrong += [f"step {i}: {x}" for x in checked(f, d.get("params", {}))[1]]
         wrong += [f"step {i}: nothing makes {x!r}" for x in d.get("in", []) if x not in known]
         if d.get("out") in known:
             wrong.append(f"step {i}: {d['out']!r} is made twice")
@@ -46,5 +46,6 @@ def build(description: list[dict[str, Any]], inputs: dict[str, DataFrame]) -> di
         raise ConfigError("; ".join(wrong))
     made = dict(inputs)
     for d in description:
-        made[d["out"]] = STEPS[d["type"]](*[made[x] for x in d.get("in", [])], **d.get("params", {}))
+        f = STEPS[d["type"]]
+        made[d["out"]] = f(*[made[x] for x in d.get("in", [])], **checked(f, d.get("params", {}))[0])
     return made

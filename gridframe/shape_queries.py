@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.operators import quantile, shapes
+from gridframe.plans import containers
 from gridframe.queries import query, table
 from gridframe.sources import collections, folders, store, tree
 
@@ -124,3 +125,30 @@ def containers_matched_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = collections.collection(spark, paths, "balance").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     nations = table(spark, sf_dir, "nation").select("n_nationkey")
     return collections.in_turn(nations, "n_nationkey", held, collections.in_order(spark, paths)).select("n_nationkey", "tag", "n", "total")
+
+
+@query("SELECT 'roots' AS dataset, count(*) AS cells, count(*) FILTER (c_acctbal < 0) AS bad FROM customer UNION ALL SELECT 'powers', count(*), count(*) FILTER (c_acctbal > 709.782712893384) FROM customer UNION ALL SELECT 'pairs', count(*), count(*) FILTER (c_acctbal < 0 OR c_acctbal > 709.782712893384) FROM customer")
+def bad_values_of_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with NaN or infinite values in the datasets of a container, whole columns, arrays and pairs alike."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.sqrt("c_acctbal").alias("root"), F.exp("c_acctbal").alias("power"))
+    held = store.Container()
+    held.add("roots", rows.select("i", "root"), ["i"]).add("powers", rows.select("i", F.array("power").alias("powers")), ["i"])
+    return containers.census(held.add("pairs", rows.select("i", F.struct("root", "power").alias("pair")), ["i"]))
+
+
+@query("SELECT o_orderstatus AS tag, count(*) AS n, round(sum(sqrt(o_totalprice)), 4) AS total FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL")
+def containers_through_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of orders' prices, a container for each status; one of them is given with its sign turned, so it is stopped."""
+    at = folders.scratch(spark)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("value"), "o_orderstatus")
+
+    def of_status(status: str) -> store.Container:
+        own = rows.where(F.col("o_orderstatus") == status).select("i", F.when(F.lit(status == "P"), -1 - F.col("value")).otherwise(F.col("value")).alias("value"))
+        return store.Container(attrs={"": {"tag": status}}).add("price", own, ["i"])
+
+    def roots(held: store.Container) -> store.Container:
+        return store.Container().add("root", held.datasets["price"].withColumn("value", F.sqrt("value")), ["i"])
+
+    step = containers.ContainerStep(roots, save_to=f"{at}/{{name}}_{{tag}}")
+    passed = containers.stacked(step.over(map(of_status, "FOP")), "root")
+    return passed.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
