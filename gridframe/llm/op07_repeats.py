@@ -24,6 +24,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ WIDTH, ANCHOR = 100, 32
 #: A perfect difference cover: every remainder is a difference of two of these (fixed values).
 MODULUS, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 BLOCK_BYTES = 6 << 20
+#: More bytes than this of one block are not looked at in one task.
+HEAVY_BYTES = 4 * BLOCK_BYTES
 #: Positions that are looked at together, below 2**24.
 CHUNK = 1 << 22
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -211,6 +214,40 @@ def covered(rows: pa.Table, width: int) -> pa.Table:
     return found
 
 
+def strings_of_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The strings of runs as (digest, doc_id, start, end), 128 bits of SHA-256 each; those that also start
+    earlier within the rows at hand come as runs of bytes without a digest."""
+    for b in slices(batches, 1 << 18, "part"):
+        first: dict[bytes, tuple[int, int]] = {}
+        rows: list[tuple[bytes | None, int, int, int]] = []
+        for doc, start, part in sorted(zip(b.column("doc_id").to_pylist(), b.column("start").to_pylist(), b.column("part").to_pylist(), strict=True), key=lambda x: x[:2]):
+            open_run = None
+            for k in range(len(part) - width + 1):
+                own = hashlib.sha256(part[k : k + width]).digest()[:16]
+                at = start + k
+                if first.setdefault(own, (doc, at)) == (doc, at):
+                    open_run = None
+                elif open_run is None:
+                    open_run = len(rows)
+                    rows.append((None, doc, at, at + width))
+                else:
+                    rows[open_run] = (None, doc, rows[open_run][2], at + width)
+        rows += [(own, doc, at, at + width) for own, (doc, at) in first.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.binary(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["digest", "doc_id", "start", "end"])
+
+
+def covered_by_digest(found: DataFrame) -> DataFrame:
+    """What ``covered`` finds, from the strings of any number of runs: equal ones meet by digest.
+
+    Strings come once for each batch that holds them, so a hot one is as many rows as there are batches;
+    a part of the join that is still skewed is split by Spark."""
+    place = F.struct("doc_id", "start")
+    least = found.where("digest is not null").groupBy("digest").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "least")
+    later = found.where("digest is not null").join(least, "digest").where(place != F.col("least"))
+    return found.where("digest is null").select("doc_id", "start", "end").unionByName(later.select("doc_id", "start", "end"))
+
+
 def cut_out(batches: Iterator[pa.RecordBatch], kept_columns: list[str]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 2 << 20):
         spans, kept = [], []
@@ -228,8 +265,10 @@ def cut_out(batches: Iterator[pa.RecordBatch], kept_columns: list[str]) -> Itera
         yield pa.RecordBatch.from_arrays([*map(b.column, kept_columns), runs, pa.array(kept, pa.binary())], [*kept_columns, "spans", "kept"])
 
 
-def remove_repeats(documents: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text (bytes), the columns to keep, spans removed, kept (the remaining bytes) of every row."""
+def remove_repeats(documents: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = (), heavy_bytes: int = HEAVY_BYTES) -> DataFrame:
+    """doc_id, text (bytes), the columns to keep, spans removed, kept (the remaining bytes) of every row.
+
+    Blocks of more than ``heavy_bytes`` are looked at by digest; the rows are the same."""
     source = text_rows(documents)
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + int(size * len(COVER) / MODULUS * 16 / BLOCK_BYTES)
@@ -242,9 +281,18 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, keep: tuple[str, ..
     runs = materialize(runs, "runs")
     discard(marks)
     inside = runs.where("block = -1").select("doc_id", "start", (F.col("start") + F.octet_length("part")).alias("end"))
-    across = runs.where("block >= 0").groupBy("block").applyInArrow(lambda rows: covered(rows, width), "doc_id long, start long, end long")
-    gone = materialize(inside.unionByName(across).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "gone")
-    discard(runs)
+    across = runs.where("block >= 0")
+    heavy = materialize(across.groupBy("block").agg(F.sum(F.octet_length("part")).alias("bytes")).where(F.col("bytes") > heavy_bytes).select("block"), "heavy")
+    used = [runs, heavy]
+    if heavy.isEmpty():
+        later = across.groupBy("block").applyInArrow(lambda rows: covered(rows, width), "doc_id long, start long, end long")
+    else:
+        strings = across.join(heavy, "block", "left_semi").select("doc_id", "start", "part").mapInArrow(tidy(strings_of_runs, width), "digest binary, doc_id long, start long, end long")
+        used.append(materialize(strings, "strings"))
+        later = across.join(heavy, "block", "left_anti").groupBy("block").applyInArrow(lambda rows: covered(rows, width), "doc_id long, start long, end long")
+        later = later.unionByName(covered_by_digest(used[-1]))
+    gone = materialize(inside.unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "gone")
+    discard(*used)
     empty = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
     rows = texts.join(gone, "doc_id", "left").select("doc_id", "text", *keep, "runs")
     rest = marked.where("not hit or doc_id is null or text is null").select("doc_id", "text", *keep, empty.alias("runs"))
