@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.operators import quantile, shapes
+from gridframe.functions import timescale
+from gridframe.operators import quantile, series, shapes
 from gridframe.plans import containers
 from gridframe.queries import query, table
-from gridframe.sources import collections, folders, store, tree
+from gridframe.sources import collections, folders, schema, store, tree
 
 CELLS = "(SELECT vec_id AS v, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 
@@ -152,3 +153,23 @@ def containers_through_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = containers.ContainerStep(roots, save_to=f"{at}/{{name}}_{{tag}}")
     passed = containers.stacked(step.over(map(of_status, "FOP")), "root")
     return passed.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS i_time, event_id, value FROM events WHERE epoch(ts) >= (SELECT epoch(min(ts)) + 0.25 * (epoch(max(ts)) - epoch(min(ts))) FROM events) AND epoch(ts) < (SELECT epoch(min(ts)) + 0.5 * (epoch(max(ts)) - epoch(min(ts))) FROM events)")
+def container_cut_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the events' time, chosen on an axis table of timestamps by seconds since 1970."""
+    rows = series.with_positions(table(spark, sf_dir, "events").select("ts", "event_id", "value"), ["ts", "event_id"], "i_time")
+    held = store.Container(axes={"time": rows.select(F.col("i_time").alias("idx"), F.col("ts").alias("label"))})
+    held.add("value", rows.select("i_time", "event_id", "value"), ["time"])
+    first, last = rows.agg(F.min(timescale.unix_time(F.col("ts"))), F.max(timescale.unix_time(F.col("ts")))).first()
+    return schema.select_range(held, "time", first + 0.25 * (last - first), first + 0.5 * (last - first), timescale.unix_time).datasets["value"]
+
+
+@query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS i_line, l_quantity::SMALLINT AS quantity, l_discount::FLOAT AS discount, l_returnflag AS flag FROM lineitem")
+def table_of_typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as records of narrower types, saved in files of bounded length and read again."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, sf_dir, "lineitem").select(*key, F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag"))
+    spec = schema.TableSpec({"quantity": "smallint", "discount": "float", "flag": "string"}, "line")
+    held = store.Container().add("lines", spec.of(series.with_positions(rows, key, "i_line")), ["line"])
+    return schema.moved_to_disk(held, folders.scratch(spark), rows_per_file=1_000_000).datasets["lines"]
