@@ -165,11 +165,11 @@ def container_cut_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.select_range(held, "time", first + 0.25 * (last - first), first + 0.5 * (last - first), timescale.unix_time).datasets["value"]
 
 
-@query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS i_line, l_quantity::SMALLINT AS quantity, l_discount::FLOAT AS discount, l_returnflag AS flag FROM lineitem")
+@query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag) - 1 AS i_line, l_quantity::SMALLINT AS quantity, l_discount::FLOAT AS discount, l_returnflag AS flag FROM lineitem")
 def table_of_typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as records of narrower types, saved in files of bounded length and read again."""
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     rows = table(spark, sf_dir, "lineitem").select(*key, F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag"))
     spec = schema.TableSpec({"quantity": "smallint", "discount": "float", "flag": "string"}, "line")
-    held = store.Container().add("lines", spec.of(series.with_positions(rows, key, "i_line")), ["line"])
+    held = store.Container().add("lines", spec.of(series.with_positions(rows, [*key, *spec.columns], "i_line")), ["line"])
     return schema.moved_to_disk(held, folders.scratch(spark), rows_per_file=1_000_000).datasets["lines"]
