@@ -107,11 +107,12 @@ def invert_no_zero_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, 0.0::DOUBLE AS by_angle, 0.0::DOUBLE AS by_day, 0.0::DOUBLE AS by_stamp FROM events")
 def time_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By how many seconds each way there and back misses the time."""
-    t = timescale.unix_time(F.col("ts"))
-    by_angle = timescale.lsa_to_unix(timescale.lsa(t, LONGITUDE), t - 3600, LONGITUDE)
-    by_day = timescale.lsd_to_unix(timescale.lsd(t, LONGITUDE, DAY_ZERO), LONGITUDE, DAY_ZERO)
+    t, rows = F.col("t"), table(spark, sf_dir, "events").select("event_id", timescale.unix_time(F.col("ts")).alias("t"))
+    rows = rows.select("event_id", "t", timescale.lsa(t, LONGITUDE).alias("angle"), timescale.lsd(t, LONGITUDE, DAY_ZERO).alias("day"))
+    by_angle = timescale.lsa_to_unix(F.col("angle"), t - 3600, LONGITUDE)
+    by_day = timescale.lsd_to_unix(F.col("day"), LONGITUDE, DAY_ZERO)
     by_stamp = timescale.unix_time(timescale.unix_to_timestamp(t))
-    return table(spark, sf_dir, "events").select("event_id", *[(F.round(c - t, 3) + 0.0).alias(n) for n, c in (("by_angle", by_angle), ("by_day", by_day), ("by_stamp", by_stamp))])
+    return rows.select("event_id", *[(F.round(c - t, 3) + 0.0).alias(n) for n, c in (("by_angle", by_angle), ("by_day", by_day), ("by_stamp", by_stamp))])
 
 
 @query("SELECT event_id, round(epoch(ts), 3) AS from_stamp, floor(epoch(ts)) AS from_text, event_id::DOUBLE AS from_number FROM events")

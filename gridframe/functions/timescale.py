@@ -35,9 +35,18 @@ def time_of_day(t: Column) -> Column:
 
 
 def leap_seconds(t: Column) -> Column:
-    """Leap seconds put in up to t; the table is part of the expression."""
+    """Leap seconds put in up to t; the table is part of the expression, the latest day first.
+
+    ``t`` is worked out once and times after the last leap second take one comparison."""
     starts = [datetime.fromisoformat(d).replace(tzinfo=UTC).timestamp() for d in LEAP_DAYS]
-    return F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= t)).cast("long")
+
+    def counted(x: Column) -> Column:
+        out = F.when(x >= starts[-1], len(starts))
+        for n in range(len(starts) - 1, 0, -1):
+            out = out.when(x >= starts[n - 1], n)
+        return out.otherwise(0).cast("long")
+
+    return bound(t, counted)
 
 
 def leap_seconds_between(a: Column, b: Column) -> Column:
@@ -53,9 +62,12 @@ def era(t: Column, dut1: Column | float = 0.0) -> Column:
 
 def era_to_unix(angle: Column, after: Column) -> Column:
     """The first time from ``after`` on with this Earth rotation angle."""
-    ahead = angle - era(after)
-    t = after + (ahead - F.floor(ahead / 360) * 360) * 240 * STELLAR_S
-    return t - leap_seconds_between(after, t)
+
+    def of(a: Column) -> Column:
+        t = bound(angle - era(a), lambda ahead: a + (ahead - F.floor(ahead / 360) * 360) * 240 * STELLAR_S)
+        return bound(t, lambda x: x - leap_seconds_between(a, x))
+
+    return bound(after, of)
 
 
 def lsa(t: Column, longitude: float) -> Column:
