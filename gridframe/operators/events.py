@@ -1,9 +1,9 @@
 """Roots of a column's function of time in intervals, and from them transits, risings and settings.
 
 Each interval is a row.  A grid over it (``step`` apart) is evaluated in an array of the row, so
-nothing is shuffled and each point is worked out once; a pair of neighbours of opposite signs brackets a root, and a fixed number
-of steps of the Illinois rule (regula falsi that halves the end that stays) refines it inside one
-expression.  A root that is nearer to another one than ``step`` may be missed with it.
+nothing is shuffled and each point is worked out once; a pair of neighbours of opposite signs brackets a root, and
+steps of the Illinois rule (regula falsi that halves the end that stays) refine it inside one
+expression, until a step would move it by less than doubles can tell (a fixed number at most).  A root that is nearer to another one than ``step`` may be missed with it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from gridframe.functions.sky import Body, Observer
 from gridframe.functions.timescale import STELLAR_S, bound
 
 DAY_S, GRID_DAYS, STEPS = 86400.0, 0.2, 12
+#: A step that is smaller than this share of the time leads nowhere (two units in the last place).
+SMALLEST = 4e-16
 #: Sun or Moon and refraction at the horizon, degrees: the upper limb is on the horizon.
 VISIBLE = 100.0 / 60
 
@@ -31,7 +33,11 @@ def refined(f: Callable[[Column], Column], a: Column, fa: Column, b: Column, fb:
             crossed = v["f"] * s["fb"] <= 0
             return F.struct(F.when(crossed, s["b"]).otherwise(s["a"]).alias("a"), F.when(crossed, s["fb"]).otherwise(s["fa"] / 2).alias("fa"), v["x"].alias("b"), v["f"].alias("fb"))
 
-        return bound(bound(middle, lambda x: F.struct(x.alias("x"), f(x).alias("f"))), out)
+        def at(x: Column) -> Column:
+            there = F.struct(s["a"].alias("a"), s["fa"].alias("fa"), x.alias("b"), F.lit(0.0).alias("fb"))
+            return F.when(F.abs(x - s["b"]) <= F.abs(x) * SMALLEST, there).otherwise(bound(F.struct(x.alias("x"), f(x).cast("double").alias("f")), out))
+
+        return F.when(s["fb"] == 0, s).otherwise(bound(middle, at))
 
     start = F.struct(a.cast("double").alias("a"), fa.cast("double").alias("fa"), b.cast("double").alias("b"), fb.cast("double").alias("fb"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["b"])

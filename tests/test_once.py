@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridframe.functions import timescale
+from gridframe.operators import events
 
 
 def test_times_are_worked_out_once(spark):
@@ -18,3 +19,12 @@ def test_times_are_worked_out_once(spark):
 def test_leap_seconds_of_odd_times(spark):
     rows = spark.createDataFrame([(None, 0), (-1e9, 0), (78796799.5, 0), (78796800.0, 1), (1483228799.9, 26), (1483228800.0, 27), (float("inf"), 27)], "t double, want long")
     assert all(r["n"] == r["want"] for r in rows.withColumn("n", timescale.leap_seconds(F.col("t"))).collect())
+
+
+def test_steps_towards_a_root_end_when_it_is_found(spark):
+    """One step solves a straight line; the function counts its calls and fails at the third."""
+    calls = F.monotonically_increasing_id()
+    line = lambda t: F.when(calls > 1, F.raise_error("worked out again").cast("double")).otherwise(t - 1.5)
+    for a, b in ((1.0, 2.25), (-4.0, 4.0), (1.5, 3.0), (0.0, 1.5)):
+        rows = spark.range(1).coalesce(1)
+        assert rows.select(events.refined(line, F.lit(a), F.lit(a - 1.5), F.lit(b), F.lit(b - 1.5))).first()[0] == 1.5
