@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from math import radians
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,22 +95,32 @@ def centuries(t: Column) -> Column:
     return (t - J2000 + TT_TAI_S + FIRST_TAI_S + leap_seconds(t)) / CENTURY_S
 
 
-def series(table: str, arguments: list[Column], column: int, wave: Callable[[Column], Column], fading: list[Column] | None = None) -> Column:
-    """The sum over a table's terms of a coefficient times the wave of a combination of arguments.
+def series(table: str, arguments: list[Column], columns: dict[str, tuple[int, Callable[[Column], Column]]], fading: list[Column] | None = None) -> Column:
+    """Sums over a table's terms of a coefficient times a wave of a combination of arguments (radians).
 
+    ``columns``: by the name of a sum the column of its coefficients and its wave; the sums share their angles.
     ``fading``: factors by the multiple of the second argument, the Sun's anomaly.  Terms are written out, as a
     sum over an array in a lambda takes several times as long."""
+    rows = {f"a{i}": row for i, row in enumerate(terms(table))}
 
-    def term(row: tuple[float, ...]) -> Column:
-        angle = sum((k * a for k, a in zip(row, arguments, strict=False) if k), F.lit(0.0))
-        out = row[column] * wave(angle)
-        return out * fading[int(abs(row[1]))] if fading and row[1] else out
+    def angle(row: tuple[float, ...]) -> Column:
+        used = [(k, a) for k, a in zip(row, arguments, strict=False) if k]
+        first = -used[0][1] if used[0][0] == -1 else used[0][1] if used[0][0] == 1 else used[0][0] * used[0][1]
+        return reduce(lambda x, u: x + u[1] if u[0] == 1 else x - u[1] if u[0] == -1 else x + u[0] * u[1], used[1:], first)
 
-    return sum((term(row) for row in terms(table) if row[column]), F.lit(0.0))
+    def sums(angles: Column) -> Column:
+        def term(name: str, row: tuple[float, ...], column: int, wave: Callable[[Column], Column]) -> Column:
+            out = row[column] * wave(angles[name])
+            return out * fading[int(abs(row[1]))] if fading and row[1] else out
+
+        return F.struct(*[sum((term(n, row, k, wave) for n, row in rows.items() if row[k]), F.lit(0.0)).alias(out) for out, (k, wave) in columns.items()])
+
+    return let(sums, **{n: angle(row) for n, row in rows.items()})
 
 
 def arguments(c: Column) -> dict[str, Column]:
-    return {n: polynomial(c, *p) for n, p in ARGUMENTS.items()}
+    """In radians."""
+    return {n: polynomial(c, *map(radians, p)) for n, p in ARGUMENTS.items()}
 
 
 def mean_obliquity(c: Column) -> Column:
@@ -119,15 +131,14 @@ def orientation(t: Column) -> Column:
     """(c, psi, eps, gast): centuries, nutation in longitude, true obliquity and Greenwich apparent sidereal time."""
 
     def of(s: Column) -> Column:
-        own = [s[n] for n in "dmnfo"]
-        psi, eps = series(NUTATION, own, 5, sin) / 36e6, mean_obliquity(s["c"]) + series(NUTATION, own, 6, cos) / 36e6
         ahead = polynomial(s["c"], 0.014506, 4612.156534, 1.3915817, -0.00000044, -0.000029956) / 3600
 
         def out(v: Column) -> Column:
-            gast = era(s["t"]) + ahead + v["psi"] * cos(v["eps"]) + sin(s["o"]) * 0.00264 / 3600
+            gast = era(s["t"]) + ahead + v["psi"] * cos(v["eps"]) + F.sin(s["o"]) * 0.00264 / 3600
             return F.struct(s["c"].alias("c"), v["psi"].alias("psi"), v["eps"].alias("eps"), bound(gast, turn).alias("gast"))
 
-        return let(out, psi=psi, eps=eps)
+        nutation = series(NUTATION, [s[n] for n in "dmnfo"], {"psi": (5, F.sin), "eps": (6, F.cos)})
+        return bound(nutation, lambda n: let(out, psi=n["psi"] / 36e6, eps=mean_obliquity(s["c"]) + n["eps"] / 36e6))
 
     return let(lambda s: let(of, t=s["t"], c=s["c"], **{n: a for n, a in arguments(s["c"]).items() if n != "l"}), t=t, c=centuries(t))
 
@@ -153,12 +164,16 @@ def moon_of_date(c: Column) -> Column:
 
     def of(s: Column) -> Column:
         own, fading = [s[n] for n in "dmnf"], [F.lit(1.0), s["e"], s["e"] * s["e"]]
-        c, a1 = s["c"], 119.75 + 131.849 * s["c"]
-        lon = series(MOON_LONGITUDE, own, 4, sin, fading) + 3958 * sin(a1) + 1962 * sin(s["l"] - s["f"]) + 318 * sin(53.09 + 479264.290 * c)
-        lat = series(MOON_LATITUDE, own, 4, sin, fading) - 2235 * sin(s["l"]) + 382 * sin(313.45 + 481266.484 * c)
-        lat = lat + 175 * sin(a1 - s["f"]) + 175 * sin(a1 + s["f"]) + 127 * sin(s["l"] - s["n"]) - 115 * sin(s["l"] + s["n"])
-        km = 385000.56 + series(MOON_LONGITUDE, own, 5, cos, fading) / 1000
-        return F.struct(bound(s["l"] + lon / 1e6, turn).alias("lon"), (lat / 1e6).alias("lat"), km.alias("km"))
+        c, a1 = s["c"], radians(119.75) + radians(131.849) * s["c"]
+
+        def out(v: Column) -> Column:
+            lon = v["lon"] + 3958 * F.sin(a1) + 1962 * F.sin(s["l"] - s["f"]) + 318 * sin(53.09 + 479264.290 * c)
+            lat = v["lat"]["lat"] - 2235 * F.sin(s["l"]) + 382 * sin(313.45 + 481266.484 * c)
+            lat = lat + 175 * F.sin(a1 - s["f"]) + 175 * F.sin(a1 + s["f"]) + 127 * F.sin(s["l"] - s["n"]) - 115 * F.sin(s["l"] + s["n"])
+            return F.struct(bound(F.degrees(s["l"]) + lon / 1e6, turn).alias("lon"), (lat / 1e6).alias("lat"), (385000.56 + v["km"] / 1000).alias("km"))
+
+        both = series(MOON_LONGITUDE, own, {"lon": (4, F.sin), "km": (5, F.cos)}, fading)
+        return let(lambda v: bound(F.struct(v["own"]["lon"].alias("lon"), v["own"]["km"].alias("km"), v["lat"].alias("lat")), out), own=both, lat=series(MOON_LATITUDE, own, {"lat": (4, F.sin)}, fading))
 
     return let(lambda s: let(of, c=s["c"], e=polynomial(s["c"], 1.0, -0.002516, -0.0000074), **arguments(s["c"])), c=c)
 

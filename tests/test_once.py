@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridframe.functions import timescale
+from gridframe.functions import sky, timescale
 from gridframe.operators import events
 
 
@@ -28,3 +28,10 @@ def test_steps_towards_a_root_end_when_it_is_found(spark):
     for a, b in ((1.0, 2.25), (-4.0, 4.0), (1.5, 3.0), (0.0, 1.5)):
         rows = spark.range(1).coalesce(1)
         assert rows.select(events.refined(line, F.lit(a), F.lit(a - 1.5), F.lit(b), F.lit(b - 1.5))).first()[0] == 1.5
+
+
+def test_angles_of_a_series_are_shared():
+    """The Moon's longitude and distance have most of their angles in common."""
+    text = str(sky.moon_of_date(F.col("c"))).lower()
+    assert text.count("radians") < 10
+    assert text.count("cos(") == 34 and text.count("sin(") < 80
