@@ -30,7 +30,7 @@ def test_steps_towards_a_root_end_when_it_is_found(spark):
         assert rows.select(events.refined(line, F.lit(a), F.lit(a - 1.5), F.lit(b), F.lit(b - 1.5))).first()[0] == 1.5
 
 
-def test_angles_of_a_series_are_shared():
+def test_angles_of_a_series_are_shared(spark):
     """The Moon's longitude and distance have most of their angles in common."""
     text = str(sky.moon_of_date(F.col("c"))).lower()
     assert text.count("radians") < 10
