@@ -202,6 +202,7 @@ def templates(pages: DataFrame, heavy: DataFrame) -> DataFrame:
     seen = packed.distinct().mapInArrow(occurrences, "page long, host string, token long, n long")
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).cast("string")
     by_token = seen.groupBy("host", "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("on"))
+    by_token = by_token.where(F.col("on") * 2 >= LEAST_PAGES)  # others are on less than half of any host's pages: most of a page's own text
     sizes = packed.select("host", F.xxhash64("tokens").alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     often = dealt(by_token, heavy, "token").join(copied(sizes, heavy), ["host", "part"]).where("2 * on >= pages")
     valid = often.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)

@@ -70,3 +70,11 @@ def test_a_host_of_most_pages_and_an_empty_table(spark):
     assert [r["text"] for r in pages_html.extract(table).where("page_id is null").collect()] == ["Text n"]
     assert pages_html.extract(table.where("false")).count() == 0
     assert pages_html.heavy_hosts(table.selectExpr("case when url like '%big%' then 'big' else 'other' end as host")).count() == 2
+
+
+def test_text_of_one_page_alone_is_not_sent_on(spark):
+    """A host with a template has three pages at least, so a token on one of them is left out before the join."""
+    pages = spark.createDataFrame([("h", "<p>x</p>")], "host string, html string")
+    plan = pages_html.templates(pages, spark.createDataFrame([], "host string, parts long"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first_join = next(i for i, line in enumerate(plan) if "2) >= 3" in line and "Filter" in line)
+    assert "sum(cast(xxhash64(page" in plan[first_join + 1]
