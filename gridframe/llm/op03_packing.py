@@ -69,7 +69,6 @@ class WordIds:
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.cache: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
         bar = encoded(self.tokenizer, ["|"])[0]
         probe = ["a", "house", "\u00e4rger", "the\u00f1o"]
         whole = [x.tolist() for x in encoded(self.tokenizer, ["a | b", "a", "b", "Probe,;", "probe", ",;"])]
@@ -95,26 +94,29 @@ class WordIds:
         return joined or [x.tobytes() for x in encoded(self.tokenizer, [w.decode("utf-8", "replace") for w in words])]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.cache) + len(self.stems) > CACHE_WORDS:
+        if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-            self.stems.clear()
         split, found = [t.split() for t in texts], self.cache
         new = set().union(*split).difference(found)
-        if any(len(w) > CACHE_BYTES for w in new):
-            found = dict(found)
-        parts = {w: p for w in new if (p := letters_and_signs(w))} if self.letters_alone else {}
-        whole = [*new.difference(parts), *{signs for _, signs in parts.values()}.difference(found, [b""])]
+        plain = {w for w in new if w.isalpha() and len(w) <= CACHE_BYTES} if self.letters_alone else set()  # ASCII letters
+        stems = {w for w in plain if w.islower()}  # ids of their own; all other words of letters are put together from such
+        parts = {w: (w.lower(), b"") for w in plain.difference(stems)}
+        if self.letters_alone:
+            parts.update((w, p) for w in new.difference(plain) if (p := letters_and_signs(w)))
+        whole = [*new.difference(plain, parts), *{signs for _, signs in parts.values()}.difference(found, [b""])]
         whole.sort(key=lambda w: b"|" in w)
         for i in range(0, len(whole), 2000):
             found.update(zip(whole[i : i + 2000], self.of_words(whole[i : i + 2000]), strict=True))
-        stems = sorted({stem for stem, _ in parts.values()}.difference(self.stems), key=bytes.isascii)
+        stems = sorted(stems.union(stem for stem, _ in parts.values()).difference(found), key=bytes.isascii)
         for i in range(0, len(stems), 2000):
-            self.stems.update(zip(stems[i : i + 2000], self.of_stems(stems[i : i + 2000]), strict=True))
+            found.update(zip(stems[i : i + 2000], self.of_stems(stems[i : i + 2000]), strict=True))
         for w, (stem, signs) in parts.items():
-            found[w] = self.stems[stem] + found[signs] if signs else self.stems[stem]
-        if found is not self.cache:
-            self.cache.update((w, found[w]) for w in new if len(w) <= CACHE_BYTES)
-        return [b"".join(map(found.__getitem__, words)) for words in split]
+            found[w] = found[stem] + found[signs] if signs else found[stem]
+        out = [b"".join(map(found.__getitem__, words)) for words in split]
+        for w in [*new, *whole]:
+            if len(w) > CACHE_BYTES:
+                found.pop(w, None)
+        return out
 
 
 def encoded(tokenizer: object, texts: list[str]) -> list[np.ndarray]:
