@@ -94,15 +94,22 @@ class WordIds:
         return joined or [x.tobytes() for x in encoded(self.tokenizer, [w.decode("utf-8", "replace") for w in words])]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        split, found = [t.split() for t in texts], self.cache
-        new = set().union(*split).difference(found)
+        split = [t.split() for t in texts]
+        used = set().union(*split)
+        if len(self.cache) > CACHE_WORDS:  # words of these texts stay: frequent ones are among them
+            self.cache = {w: self.cache[w] for w in used.intersection(self.cache)}
+        found = self.cache
+        new = used.difference(found)
         plain = {w for w in new if w.isalpha() and len(w) <= CACHE_BYTES} if self.letters_alone else set()  # ASCII letters
         stems = {w for w in plain if w.islower()}  # ids of their own; all other words of letters are put together from such
         parts = {w: (w.lower(), b"") for w in plain.difference(stems)}
         if self.letters_alone:
-            parts.update((w, p) for w in new.difference(plain) if (p := letters_and_signs(w)))
+            for w in new.difference(plain):
+                stem = w.rstrip(SIGNS)
+                if stem.isalpha() and len(stem) <= CACHE_BYTES:
+                    parts[w] = (stem.lower(), w[len(stem) :])
+                elif p := letters_and_signs(w):
+                    parts[w] = p
         whole = [*new.difference(plain, parts), *{signs for _, signs in parts.values()}.difference(found, [b""])]
         whole.sort(key=lambda w: b"|" in w)
         for i in range(0, len(whole), 2000):
@@ -113,9 +120,8 @@ class WordIds:
         for w, (stem, signs) in parts.items():
             found[w] = found[stem] + found[signs] if signs else found[stem]
         out = [b"".join(map(found.__getitem__, words)) for words in split]
-        for w in [*new, *whole]:
-            if len(w) > CACHE_BYTES:
-                found.pop(w, None)
+        for w in [w for w in (*whole, *parts) if len(w) > CACHE_BYTES]:
+            found.pop(w, None)
         return out
 
 

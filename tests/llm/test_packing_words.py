@@ -18,3 +18,13 @@ def test_ids_with_long_words_and_signs():
         got = words.ids([t.encode() for t in texts])
         assert got == [b"".join(x.tobytes() for x in packing.encoded(words.tokenizer, t.split())) for t in texts]
         assert all(len(w) <= packing.CACHE_BYTES for w in words.cache)
+
+
+def test_words_in_use_stay_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    words = packing.WordIds(entries.tokenizer_path())
+    words.ids([b"the of and to in rare seldom once"])
+    asked = []
+    monkeypatch.setattr(words, "of_stems", lambda stems, real=words.of_stems: (asked.extend(stems), real(stems))[1])
+    assert words.ids([b"the of and new"]) == [b"".join(x.tobytes() for x in packing.encoded(words.tokenizer, ["the", "of", "and", "new"]))]
+    assert asked == [b"new"] and set(words.cache) == {b"the", b"of", b"and", b"new"}
