@@ -73,8 +73,10 @@ def tidy(work: Callable, *given: object) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def give_back() -> None:
-    gc.collect()
+def give_back(cycles: bool = True) -> None:
+    """Memory to the system; a look for cycles takes some hundredths of a second, too much for each of many small groups."""
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
